@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, mixing, quality
+from . import decontaminate, mixing, quality, rans
 from .common import table
 
 
@@ -15,6 +15,14 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op3_token_file(spark: SparkSession, sf_dir: str, tokenizer: str = "") -> DataFrame:
+    if not tokenizer:
+        import public_tokenizers
+
+        tokenizer = public_tokenizers.path("byte_bpe_50k.json")
+    return rans.tokenised(table(spark, sf_dir, "documents"), tokenizer)
+
+
 def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -25,6 +33,6 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_decontaminate, op8_mix_sources, op9_quality_rules)
+    f.__name__: f for f in (op2_decontaminate, op3_token_file, op8_mix_sources, op9_quality_rules)
 }
 ORACLE: dict[str, str] = {}
