@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, mixing, quality, rans
+from . import decontaminate, mixing, quality, rans, toxicity
 from .common import table
 
 
@@ -23,6 +23,11 @@ def op3_token_file(spark: SparkSession, sf_dir: str, tokenizer: str = "") -> Dat
     return rans.tokenised(table(spark, sf_dir, "documents"), tokenizer)
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return t.select("doc_id", "held_out", "score", "predicted")
+
+
 def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -33,6 +38,6 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_decontaminate, op3_token_file, op8_mix_sources, op9_quality_rules)
+    f.__name__: f for f in (op2_decontaminate, op3_token_file, op5_toxicity, op8_mix_sources, op9_quality_rules)
 }
 ORACLE: dict[str, str] = {}
