@@ -25,7 +25,7 @@ class Writer:
     def __init__(self, uri: str):
         system, path = opened(uri)
         system.create_dir(path.rsplit("/", 1)[0], recursive=True)
-        self.stream, self.at = system.open_output_stream(path), 0
+        self.stream, self.at = system.open_output_stream(path, compression=None), 0
 
     def write(self, data: bytes) -> int:
         """Returns where the data begin."""

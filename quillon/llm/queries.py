@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, mixing, quality, rans, toxicity
+from . import decontaminate, mixing, quality, rans, toxicity, warc
 from .common import table
 
 
@@ -23,6 +23,10 @@ def op3_token_file(spark: SparkSession, sf_dir: str, tokenizer: str = "") -> Dat
     return rans.tokenised(table(spark, sf_dir, "documents"), tokenizer)
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archived(table(spark, sf_dir, "pages"))
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return t.select("doc_id", "held_out", "score", "predicted")
@@ -38,6 +42,15 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_decontaminate, op3_token_file, op5_toxicity, op8_mix_sources, op9_quality_rules)
+    f.__name__: f for f in (op2_decontaminate, op3_token_file, op4_warc, op5_toxicity, op8_mix_sources, op9_quality_rules)
+}
+ORACLE: dict[str, str] = {
+    "op4_warc": """
+        WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+        d AS (SELECT page_id, octet_length(encode(html)) AS payload_bytes, sha1(html) AS payload_digest FROM p),
+        l AS (SELECT payload_digest, max(page_id) AS last FROM d WHERE payload_bytes >= 1000 GROUP BY 1)
+        SELECT d.page_id, payload_bytes, d.payload_digest,
+            CASE WHEN last IS NULL OR last = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+            CASE WHEN last <> page_id THEN last END AS refers_to
+        FROM d LEFT JOIN l USING (payload_digest)""",
 }
-ORACLE: dict[str, str] = {}
