@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, mixing, quality, rans, toxicity, warc
+from . import decontaminate, jaccard, mixing, quality, rans, toxicity, warc
 from .common import table
 
 
@@ -41,8 +41,12 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return q.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "p_good")
 
 
+def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.joined(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_decontaminate, op3_token_file, op4_warc, op5_toxicity, op8_mix_sources, op9_quality_rules)
+    f.__name__: f for f in (op2_decontaminate, op3_token_file, op4_warc, op5_toxicity, op8_mix_sources, op9_quality_rules, op10_jaccard_join)
 }
 ORACLE: dict[str, str] = {
     "op4_warc": """
