@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, jaccard, mixing, quality, rans, suffixes, toxicity, warc
+from . import decontaminate, jaccard, mixing, quality, rans, suffixes, toxicity, warc, wrappers
 from .common import table
 
 
@@ -36,6 +36,10 @@ def op6_repeated_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.without_repeats(table(spark, sf_dir, "documents")).drop("kept")
 
 
+def op7_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wrappers.main_texts(table(spark, sf_dir, "pages"))
+
+
 def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -50,7 +54,7 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_decontaminate, op3_token_file, op4_warc, op5_toxicity, op6_repeated_bytes, op8_mix_sources, op9_quality_rules, op10_jaccard_join)
+    f.__name__: f for f in (op2_decontaminate, op3_token_file, op4_warc, op5_toxicity, op6_repeated_bytes, op7_main_text, op8_mix_sources, op9_quality_rules, op10_jaccard_join)
 }
 ORACLE: dict[str, str] = {
     "op4_warc": """
