@@ -7,10 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, jaccard, mixing, quality, rans, suffixes, toxicity, warc, wrappers
+from . import decontaminate, jaccard, line_dedup, mixing, quality, rans, suffixes, toxicity, warc, wrappers
 from .common import table
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = line_dedup.deduplicated(table(spark, sf_dir, "documents"))
+    return d.select("doc_id", "n_lines", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -54,7 +59,7 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_decontaminate, op3_token_file, op4_warc, op5_toxicity, op6_repeated_bytes, op7_main_text, op8_mix_sources, op9_quality_rules, op10_jaccard_join)
+    f.__name__: f for f in (op1_line_dedup, op2_decontaminate, op3_token_file, op4_warc, op5_toxicity, op6_repeated_bytes, op7_main_text, op8_mix_sources, op9_quality_rules, op10_jaccard_join)
 }
 ORACLE: dict[str, str] = {
     "op4_warc": """
