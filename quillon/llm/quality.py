@@ -31,7 +31,7 @@ def features(docs: DataFrame, window: int = 5) -> DataFrame:
     """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, and what else the rules look at."""
     text = F.coalesce("text", F.lit(""))
     d = docs.select("doc_id", text.alias("text"))
-    lines = F.filter(F.split("text", "\n"), lambda x: F.trim(F.lit("\t\x0b\x0c\r "), x) != "")
+    lines = F.filter(F.split("text", "\n"), lambda x: F.trim(x, F.lit("\t\x0b\x0c\r ")) != "")
     d = d.select("doc_id", "text", words_of(F.col("text"), SPACES).alias("words"), lines.alias("lines"))
     size = F.size("words")
     d = d.select(
