@@ -77,10 +77,10 @@ def votes() -> dict[str, Column]:
     }
 
 
-def fitted(patterns: Sequence[tuple[tuple[int, ...], int]], rounds: int = 50) -> tuple[float, list[list[list[float]]]]:
+def fitted(patterns: Sequence[tuple[tuple[int, ...], int]], rounds: int = 50, rules: int | None = None) -> tuple[float, list[list[list[float]]]]:
     """Expectation-maximisation over (votes, count): the share of good documents, and for each rule, for bad and good
     documents, the probabilities of the votes -1, 0, 1. It begins from the belief that rules are right four times in five."""
-    rules = len(patterns[0][0]) if patterns else 0
+    rules = len(patterns[0][0]) if rules is None else rules
     share, table = 0.7, [[[0.5, 0.3, 0.2], [0.1, 0.2, 0.7]] for _ in range(rules)]
     for _ in range(rounds):
         total, mass = [0.0, 0.0], [[[1.0, 1.0, 1.0], [1.0, 1.0, 1.0]] for _ in range(rules)]
@@ -106,7 +106,7 @@ def quality(docs: DataFrame, rounds: int = 50) -> DataFrame:
     f = features(docs).withColumns(rules)
     f = written(f, "quality")
     patterns = [(tuple(r[:-1]), r[-1]) for r in sorted(map(tuple, f.groupBy(*rules).count().collect()))]  # at most 3 ** rules rows
-    share, table = fitted(patterns, rounds)
+    share, table = fitted(patterns, rounds, len(rules))
     odds = F.lit(math.log(share / (1 - share)))
     for name, (bad, good) in zip(rules, table, strict=True):
         odds = odds + F.element_at(F.array(*(F.lit(math.log(g / b)) for b, g in zip(bad, good, strict=True))), F.col(name) + 2)
