@@ -4,8 +4,10 @@ A position's bucket for strings of 2m bytes is made of its bucket for m bytes an
 again, from single bytes to 256. So that not every suffix is sorted across the cluster, the starts of whole strings of
 LENGTH bytes are grouped by the least of the GRAM-byte buckets inside: consecutive starts with the same least bucket are
 a region. Equal strings lie in regions of the same bucket, whatever surrounds them. Regions whose bucket is alone are
-done. Regions equal as a whole repeat as a whole. What remains, regions of a shared bucket with different ends, is
-refined to single starts by the bucket for LENGTH bytes. Buckets are 64-bit hashes, sorted and grouped by Spark.
+done. Regions equal as a whole repeat as a whole. What remains, regions of a shared bucket with different ends, is cut
+into regions of up to STEP starts at equal distances from the least bucket, whose own buckets are those of the string
+that all their starts share; these are judged alike, and what remains of them is refined to single starts. Buckets are
+64-bit hashes, sorted and grouped by Spark.
 
 Nulls and ties: a null text is empty; texts shorter than LENGTH bytes lose nothing; equal rows are each other's
 repetition; rows that share a doc_id are documents of their own; texts of any length are scanned in overlapping pieces of
@@ -22,9 +24,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import dropped, written
 
-LENGTH, GRAM, PIECE = 400, 64, 1 << 18
+LENGTH, GRAM, STEP, PIECE = 400, 64, 16, 1 << 18
 #: Region hashes cover up to three strings of 256 bytes.
 TOP = 256
 _rng = np.random.default_rng(20240101)
@@ -70,27 +72,45 @@ def least_places(keys: np.ndarray, width: int) -> np.ndarray:
 
 
 def regions(pieces: list[bytes]) -> tuple[np.ndarray, ...]:
-    """Of each region in texts that together are less than a million bytes: text, first start, number of starts, bucket
-    and hash of the whole region."""
+    """Of each region in texts that together are less than a million bytes: text, first start, number of starts, distance
+    to the least bucket, bucket, and hash of the whole region."""
     data = np.frombuffer(b"".join(pieces), np.uint8)
     sizes = np.array([len(p) for p in pieces], np.int64)
     ends = np.cumsum(sizes)
     if len(data) < LENGTH:
-        return (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64),) * 2
+        return (np.zeros(0, np.int64),) * 4 + (np.zeros(0, np.uint64),) * 2
     h = buckets(data, TOP)
     at = least_places(h[GRAM], LENGTH - GRAM + 1)
     text = np.repeat(np.arange(len(pieces)), sizes)[: len(at)]
     valid = np.arange(len(at)) + LENGTH <= ends[text]
     where = np.flatnonzero(valid)
     if not len(where):
-        return (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64),) * 2
+        return (np.zeros(0, np.int64),) * 4 + (np.zeros(0, np.uint64),) * 2
     new = np.concatenate(([True], (at[where[1:]] != at[where[:-1]]) | (text[where[1:]] != text[where[:-1]])))
     first = np.flatnonzero(new)
     begin, count = where[first], np.diff(np.append(first, len(where)))
-    length = count - 1 + LENGTH
-    top = h[TOP]
-    whole = refined(refined(top[begin], top[begin + np.minimum(TOP, length - TOP)]), top[begin + length - TOP]) + length.astype(np.uint64)
-    return text[begin], begin - (ends - sizes)[text[begin]], count, finished(h[GRAM][at[begin]]), finished(whole)
+    return text[begin], begin - (ends - sizes)[text[begin]], count, at[begin] - begin, finished(h[GRAM][at[begin]]), whole(h[TOP], begin, count - 1 + LENGTH)
+
+
+def whole(top: np.ndarray, begin: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """Hashes of strings of 256 to 768 bytes from the buckets for 256."""
+    return finished(refined(refined(top[begin], top[begin + np.minimum(TOP, length - TOP)]), top[begin + length - TOP]) + length.astype(np.uint64))
+
+
+def cut_regions(pieces: list[bytes], counts: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The regions (given by their bytes, numbers of starts and distances to the least bucket) cut at distances that STEP
+    divides: piece, first start, number of starts, bucket of what all starts share, and hash of the whole."""
+    data = np.frombuffer(b"".join(pieces), np.uint8)
+    base = np.cumsum([0, *map(len, pieces)])[:-1]
+    top = buckets(data, TOP)[TOP]
+    piece = np.repeat(np.arange(len(pieces)), counts)
+    start = np.arange(int(counts.sum())) - np.repeat(np.cumsum(counts) - counts, counts)
+    block = (at[piece] - start) // STEP
+    first = np.flatnonzero(np.concatenate(([True], (piece[1:] != piece[:-1]) | (block[1:] != block[:-1]))))
+    n = np.diff(np.append(first, len(piece)))
+    piece, begin, block = piece[first], start[first], block[first]
+    shared = base[piece] + at[piece] - block * STEP
+    return piece, begin, n, whole(top, shared, np.full(len(first), LENGTH - STEP + 1)), whole(top, base[piece] + begin, n - 1 + LENGTH)
 
 
 def starts(pieces: list[bytes]) -> np.ndarray:
@@ -109,16 +129,20 @@ def cut(data: bytes) -> Iterator[tuple[int, bytes]]:
         yield at, data[at : at + PIECE + LENGTH - 1]
 
 
+NAMES = ["bucket", "whole", "row", "lo", "n", "at", "asks"]
+FOUND = "bucket long, whole long, row long, lo long, n int, at int, asks boolean"
+
+
 def _ints(x: np.ndarray, kind=np.int64) -> pa.Array:
     return pa.array(x.view(np.int64) if x.dtype == np.uint64 else x.astype(kind))
 
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def flush() -> pa.RecordBatch:
-        text, lo, n, bucket, whole = regions([p for _, _, p in held])
+        text, lo, n, at, bucket, hashes = regions([p for _, _, p in held])
         rows, bases = np.array([r for r, _, _ in held], np.int64), np.array([b for _, b, _ in held], np.int64)
         held.clear()
-        return pa.RecordBatch.from_arrays([_ints(bucket), _ints(whole), _ints(rows[text]), _ints(lo + bases[text]), _ints(n, np.int32)], ["bucket", "whole", "row", "lo", "n"])
+        return pa.RecordBatch.from_arrays([_ints(bucket), _ints(hashes), _ints(rows[text]), _ints(lo + bases[text]), _ints(n, np.int32), _ints(at, np.int32), pa.array(np.ones(len(n), bool))], NAMES)
 
     held, size = [], 0
     for batch in batches:
@@ -135,16 +159,29 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield flush()
 
 
-def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[dict], list[bytes]]]:
+    """Some regions of one text at a time, with their bytes."""
     for batch in batches:
         for row, data, parts in zip(batch.column(0).to_pylist(), batch.column(2).cast(pa.binary()).to_pylist(), batch.column(3).to_pylist(), strict=True):
-            for at in range(0, len(parts), 300):
-                own = parts[at : at + 300]
-                keys = starts([data[p["lo"] : p["lo"] + p["n"] - 1 + LENGTH] for p in own])
-                n = np.array([p["n"] for p in own])
-                begin = np.repeat(np.array([p["lo"] for p in own]), n) + np.arange(len(keys)) - np.repeat(np.cumsum(n) - n, n)
-                asks = np.repeat(np.array([p["asks"] for p in own]), n)
-                yield pa.RecordBatch.from_arrays([_ints(keys), pa.array(np.full(len(keys), row, np.int64)), _ints(begin), pa.array(asks)], ["key", "row", "lo", "asks"])
+            for i in range(0, len(parts), 300):
+                own = parts[i : i + 300]
+                yield row, own, [data[p["lo"] : p["lo"] + p["n"] - 1 + LENGTH] for p in own]
+
+
+def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for row, own, pieces in _parts(batches):
+        lo, n, at, asks = (np.array([p[k] for p in own]) for k in ("lo", "n", "at", "asks"))
+        piece, begin, count, bucket, hashes = cut_regions(pieces, n, at)
+        yield pa.RecordBatch.from_arrays([_ints(bucket), _ints(hashes), _ints(np.full(len(piece), row)), _ints(lo[piece] + begin), _ints(count, np.int32), _ints(at[piece] - begin, np.int32), pa.array(asks[piece])], NAMES)
+
+
+def _single(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for row, own, pieces in _parts(batches):
+        keys = starts(pieces)
+        lo, n, asks = (np.array([p[k] for p in own]) for k in ("lo", "n", "asks"))
+        begin = np.repeat(lo, n) + np.arange(len(keys)) - np.repeat(np.cumsum(n) - n, n)
+        one = np.ones(len(keys))
+        yield pa.RecordBatch.from_arrays([_ints(keys), _ints(keys), _ints(np.full(len(keys), row)), _ints(begin), _ints(one, np.int32), _ints(one, np.int32), pa.array(np.repeat(asks, n))], NAMES)
 
 
 def covered(size: int, parts: list[dict]) -> np.ndarray:
@@ -173,26 +210,30 @@ def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()), strict=True)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
 
+def judged(found: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of regions: those (row, lo, n) that ask and occur again as a whole; and, by row, the parts that remain, which are
+    regions that are alone in a bucket of several, and one of each other kind there, to be found but not to ask."""
+    kinds = found.groupBy("whole").agg(F.count("*").alias("times"), F.max("asks").alias("asks"), F.min("bucket").alias("bucket"), F.min(F.struct("row", "lo", "n", "at")).alias("place"))
+    kinds = written(kinds, "kinds")
+    again = kinds.where("times > 1 AND asks").select(F.col("whole").alias("_whole"))
+    alike = written(found.where("asks").join(again, F.col("whole") == F.col("_whole")).select("row", "lo", "n"), "repeats")
+    alone = (F.col("times") == 1) & F.col("asks")
+    mixed = kinds.groupBy("bucket").agg(F.count("*").alias("_kinds"), F.max(alone).alias("_open")).where("_kinds > 1 AND _open").withColumnRenamed("bucket", "_bucket")
+    rest = kinds.join(mixed, F.col("bucket") == F.col("_bucket")).select(F.col("place.row").alias("_row"), F.struct("place.lo", "place.n", "place.at", alone.alias("asks")).alias("part"))
+    rest = written(rest.groupBy("_row").agg(F.collect_list("part").alias("parts")), "parts")  # bounded by the text's length
+    dropped(kinds)
+    dropped(found)
+    return alike, rest
+
+
 def without_repeats(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and kept (the remaining bytes) of each document."""
     d = docs.select(F.xxhash64("doc_id", "text").alias("row"), "doc_id", "text")
-    found = written(d.mapInArrow(_scan, "bucket long, whole long, row long, lo long, n int"), "regions")
-
-    place = F.struct("row", "lo", "n")
-    kinds = found.groupBy("whole").agg(F.count("*").alias("times"), F.min("bucket").alias("bucket"), F.min(place).alias("place"))
-    kinds = written(kinds, "kinds")
-    again = kinds.where("times > 1").select(F.col("whole").alias("_whole"))
-    alike = found.join(again, F.col("whole") == F.col("_whole")).select("row", "lo", "n")
-
-    # Of a bucket's regions, those that are alone ask for their single starts; the others are there once to be found.
-    mixed = kinds.groupBy("bucket").agg(F.count("*").alias("_kinds"), F.min("times").alias("_least")).where("_kinds > 1 AND _least = 1").withColumnRenamed("bucket", "_bucket")
-    ask = kinds.join(mixed, F.col("bucket") == F.col("_bucket")).select(F.col("place.row").alias("_row"), F.struct(F.col("place.lo").alias("lo"), F.col("place.n").alias("n"), (F.col("times") == 1).alias("asks")).alias("part"))
-    ask = ask.groupBy("_row").agg(F.collect_list("part").alias("parts"))  # bounded by the document's length
-    windows = d.join(ask, F.col("row") == F.col("_row")).select("row", "doc_id", "text", "parts").mapInArrow(_windows, "key long, row long, lo long, asks boolean")
-    windows = written(windows, "starts")
-    twice = windows.groupBy("key").agg(F.count("*").alias("_n")).where("_n > 1").select(F.col("key").alias("_key"))
-    single = windows.where("asks").join(twice, F.col("key") == F.col("_key")).select("row", "lo", F.lit(1).alias("n"))
-
-    parts = alike.unionByName(single).groupBy("row").agg(F.collect_set(F.struct("lo", "n")).alias("parts")).withColumnRenamed("row", "_row")
+    alike, rest = judged(written(d.mapInArrow(_scan, FOUND), "regions"))
+    for refine in (_cut, _single):
+        own = d.join(rest, F.col("row") == F.col("_row")).select("row", "doc_id", "text", "parts")
+        more, rest = judged(written(own.mapInArrow(refine, FOUND), "regions"))
+        alike = alike.unionByName(more)
+    parts = alike.groupBy("row").agg(F.collect_set(F.struct("lo", "n")).alias("parts")).withColumnRenamed("row", "_row")
     out = d.join(parts, F.col("row") == F.col("_row"), "left").select("row", "doc_id", "text", "parts")
     return out.mapInArrow(_remove, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
