@@ -155,7 +155,7 @@ _LINES = "lines AS (SELECT id, generate_subscripts(l, 1) AS line, unnest(l) AS t
 def pf22_grep(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = model.chunks(spark, sf_dir)
     rows = lines.lines(c).join(c.select("id", "path"), "id")
-    return retrieval.grep(rows, r"[a-z]+@[a-z]+\.[a-z]+").select("path", F.col("line").cast("long").alias("line"), "text")
+    return retrieval.grep(rows, r"[A-Za-z0-9._]+@[A-Za-z0-9.]+").select("path", F.col("line").cast("long").alias("line"), "text")
 
 
 @query("SELECT id FROM chunks WHERE contains(lower(content), 'the') AND contains(lower(content), 'hea') AND contains(lower(content), 'eas')", "chunks")
@@ -321,12 +321,12 @@ def gr20_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _COCHANGE = """+c AS (SELECT *, count(*) OVER (PARTITION BY commit_id) AS n FROM commits QUALIFY n <= 30), t AS (SELECT file, count(*) AS n FROM c GROUP BY 1),
     p AS (SELECT x.file AS a, y.file AS b, count(*) AS support FROM c x JOIN c y ON x.commit_id = y.commit_id AND x.file < y.file GROUP BY 1, 2 HAVING count(*) >= 2)
-    SELECT a, b, support, round(support / least(u.n, v.n), 6) AS confidence FROM p JOIN t u ON u.file = a JOIN t v ON v.file = b WHERE support / least(u.n, v.n) >= 0.1"""
+    SELECT a, b, support, round(support / least(u.n, v.n), 6) AS confidence FROM p JOIN t u ON u.file = a JOIN t v ON v.file = b WHERE support / least(u.n, v.n) >= 0.01"""
 
 
 @query(_COCHANGE, "commits")
 def ag14_cochange(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _round(coupling.cochange(model.commits(spark, sf_dir)), "confidence")
+    return _round(coupling.cochange(model.commits(spark, sf_dir), confidence=0.01), "confidence")
 
 
 @query("+l AS (SELECT path AS key, max(us) AS us FROM tool_events WHERE path IS NOT NULL GROUP BY 1) SELECT key, round(0.25 * pow(2.0, -((SELECT max(us) FROM l) - us) / 3.6e9 / 48), 6) AS bonus FROM l", "tool_events")
