@@ -151,7 +151,7 @@ def sc21_dimension_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
 _LINES = "lines AS (SELECT id, generate_subscripts(l, 1) AS line, unnest(l) AS text FROM (SELECT id, string_split(content, chr(10)) AS l FROM chunks))"
 
 
-@query(f"+{_LINES} SELECT path, line, text FROM lines JOIN chunks USING (id) WHERE regexp_matches(text, '[a-z]+@[a-z]+\\.[a-z]+') ORDER BY path, line LIMIT 50", "chunks")
+@query(f"+{_LINES} SELECT path, line, text FROM lines JOIN chunks USING (id) WHERE regexp_matches(text, '[A-Za-z0-9._]+@[A-Za-z0-9.]+') ORDER BY path, line LIMIT 50", "chunks")
 def pf22_grep(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = model.chunks(spark, sf_dir)
     rows = lines.lines(c).join(c.select("id", "path"), "id")
