@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import files
-from .common import shared_dir
+from .common import shared_dir, small_batches
 
 MAGIC = b"QRANS\x01\n\x00"
 SCALE, LOW = 20, np.uint64(1 << 31)
@@ -43,7 +43,7 @@ def uneven(text: str) -> bool:
 
 #: A word of Latin letters, of which a byte-level BPE makes one unit, and marks, of which it makes another.
 WORD = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u017f]+)([.,;:!?%*#$&|]*)")
-CACHE_PIECES = 1_000_000
+CACHE_PIECES = 600_000
 
 
 def _byte_letters() -> dict[int, str]:
@@ -271,8 +271,8 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, segment: int = SE
             return pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int64()), "seq": pa.array([seq], pa.int64()), "path": [uri], "n_docs": pa.array([len(doc_ids)], pa.int64()), "n_ids": pa.array([n], pa.int64())})
 
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                own = batch.slice(at, 500)
+            for at in range(0, batch.num_rows, 64):
+                own = batch.slice(at, 64)
                 ids, sizes = encoder([x or "" for x in own.column(1).to_pylist()])
                 ends = np.cumsum(sizes)
                 held.append(np.insert(ids, ends, END))
@@ -285,6 +285,7 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, segment: int = SE
         if doc_ids:
             yield close()
 
+    small_batches(docs.sparkSession)
     d = docs.select("doc_id", "text").repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
     made = d.mapInArrow(write, "part long, seq long, path string, n_docs long, n_ids long")
     made.write.parquet(f"{folder}/manifest")

@@ -24,9 +24,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
+from .common import small_batches
+
 BITS, FACTORS, SAMPLE, EPOCHS, RARE = 20, 4, 12_000, 8, 10
 WORD = re.compile(r"[^\W\d_]+")
-CACHE_WORDS = 500_000
+CACHE_WORDS = 150_000
 
 
 def terms(word: str) -> tuple[int, int, int]:
@@ -135,6 +137,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> bytes:
         d = pd.concat([*parts, pd.DataFrame({"toxic": [], "terms": []})]).sort_values(["terms", "toxic"])
         yield pd.DataFrame({"model": [fitted([np.frombuffer(t, np.int32) for t in d.terms], (d.toxic.to_numpy() > 0).astype(float)).tobytes()]})
 
+    small_batches(docs.sparkSession)
     rows = labelled(docs, labels, sample).mapInPandas(to_terms, "toxic long, terms binary")
     models = rows.repartition(1).mapInPandas(train, "model binary").collect()
     return models[0].model if models else fitted([], np.zeros(0)).tobytes()
@@ -145,6 +148,7 @@ _held: dict[int, Model] = {}
 
 def scores(text: Column, model: bytes, spark) -> Column:
     """The score of each text, 0 to 1."""
+    small_batches(spark)
     shared = spark.sparkContext.broadcast(model)
 
     @pandas_udf("double")
