@@ -15,10 +15,11 @@ def replayed(spark, df, path):
 
 
 def collected(stream, name):
-    q = stream.writeStream.format("memory").queryName(name).outputMode("append").start()
+    """All rows of what is there; a query with timeouts would otherwise never be idle."""
+    q = stream.writeStream.format("memory").queryName(name).outputMode("append").trigger(availableNow=True).start()
     try:
-        q.processAllAvailable()
-        return q, stream.sparkSession.sql(f"SELECT * FROM {name}").collect()
+        assert q.awaitTermination(90)
+        return stream.sparkSession.sql(f"SELECT * FROM {name}").collect()
     finally:
         q.stop()
 
@@ -26,7 +27,7 @@ def collected(stream, name):
 def test_throttle(spark, tmp_path):
     e = model.tool_events(spark, DATA)
     s = replayed(spark, e, str(tmp_path / "e"))
-    _, got = collected(streams.throttled(s, 86400), "throttled")
+    got = collected(streams.throttled(s, 86400), "throttled")
     want = telemetry.throttle(e, 86400).collect()
     # Events of one microsecond are counted together in the batch; none are here.
     assert {(r.event_id, r.calls, r.level) for r in got} == {(r.event_id, r.calls, r.level) for r in want}
@@ -35,5 +36,5 @@ def test_throttle(spark, tmp_path):
 def test_debounce(spark, tmp_path):
     rows = [("a", 0), ("a", 100_000), ("a", 2_000_000), ("b", 0)]
     s = replayed(spark, spark.createDataFrame(rows, "key string, us long"), str(tmp_path / "c"))
-    _, got = collected(streams.debounced(s), "debounced")
+    got = collected(streams.debounced(s), "debounced")
     assert ("a", 0, 100_000, 2) in {tuple(r) for r in got}
