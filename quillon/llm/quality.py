@@ -40,7 +40,7 @@ def features(docs: DataFrame, window: int = 5) -> DataFrame:
         F.regexp_count("text", F.lit(r"[#*$%&|<>]")).cast("long").alias("n_symbols"),
         F.size("lines").cast("long").alias("n_lines"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
-        F.size(F.array_intersect(F.slice("words", 1, 200), F.array(*map(F.lit, FUNCTION_WORDS)))).alias("n_function"),
+        F.size(F.array_intersect("words", F.array(*map(F.lit, FUNCTION_WORDS)))).alias("n_function"),
         F.regexp_count("text", F.lit(r"[.!?][\x20\x09-\x0D\x22\x27)]*(?:\n|$)")).cast("long").alias("n_ended"),
         F.transform("words", lambda w: F.xxhash64(w)).alias("hashes"),
     )

@@ -122,6 +122,12 @@ def test_quality_features(documents):
     assert quality.quality(documents([])).count() == 0
 
 
+def test_function_words_count_wherever_they_stand(documents):
+    junk = " ".join("x%d" % i for i in range(5000))
+    got = {r.doc_id: r for r in quality.quality(documents([junk, junk + " the", junk + " the of the", "the of " + junk, junk[:1000] + " la und " + junk])).collect()}
+    assert [(got[i].n_function, got[i].function_words) for i in range(5)] == [(0, -1), (1, 0), (2, 1), (2, 1), (2, 1)]
+
+
 def test_votes_find_the_bad_half():
     rng = random.Random(4)
     counts = {}
