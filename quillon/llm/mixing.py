@@ -1,9 +1,9 @@
 """Mixing sources to target weights by a low-discrepancy schedule (DataFrame functions only).
 
-Slot n of the mixture takes the point frac((n + 1) / golden ratio). The point falls into the interval of one source
-among the cumulated targets, so that every stretch of slots holds each source in about its share. The r-th slot of a
-source takes the r-th of its blocks: the documents of a source, in hashed order, are one stream of words that is cut
-into blocks of equal size; after the last block the stream begins again.
+Slot n of the mixture, which is one word long, takes the point frac((n + 1) / golden ratio). The point falls into the
+interval of one source among the cumulated targets, so that every stretch of slots holds each source in about its share.
+The r-th slot of a source takes the r-th of its words: the documents of a source, in hashed order, are one stream of
+words; after the last word the stream begins again. There are as many slots as words, so that small sources get theirs.
 
 Nulls and ties: a null text has size 0 and is taken 0 times; a null source is a source, sorted last; rows with equal
 doc_id are rows of their own, ordered by size; an empty table gives no rows. Columns other than doc_id, text and source
@@ -15,10 +15,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACES
+from .common import SPACES, bounded, written
 
-#: The fractional part of the golden ratio.
-GOLDEN = 0.6180339887498949
+#: The fractional part of the golden ratio in units of 2 ** -60, as halves of 30 bits: doubles are too coarse for billions of slots.
+GOLDEN, HALF = 0x9E3779B97F4A7C1, 30
+BROADCAST_ROWS = 100_000
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -56,30 +57,41 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most:
     return s.select("source", "source_size", "target", "total", (F.col("high") - F.col("share")).alias("low"), "high")
 
 
-def schedule(targets: DataFrame, slots: int = 1 << 18, cells: int = 4096, segment: int = 1024) -> DataFrame:
-    """slot, source and rank (among the slots of its source, from 0) of the mixture; block_words says how long a slot is.
+def slots(targets: DataFrame, least_cells: int = 4096) -> DataFrame:
+    """slot and source of the mixture: a slot for each word of all sources. Reads targets more than once.
 
-    Slots find their source by an equality join on cells of the unit interval. Ranks are a running count over
-    segments plus a rank within the segment, so that no task holds all slots of a large source.
+    Slots find their source by an equality join on cells of the unit interval.
     """
-    spark = targets.sparkSession
-    block = F.greatest(F.ceil(F.col("total") / F.lit(slots)), F.lit(1)).cast("long")
-    parts = targets.where("target > 0").withColumn("block_words", block).withColumn("n_slots", F.round(F.col("total") / F.col("block_words")).cast("long"))
+    total, sources = targets.agg(F.max("total"), F.count("*")).first()
+    cells = max(least_cells, sources)
+    parts = targets.where("target > 0")
     last = F.least(F.floor(F.col("high") * cells), F.lit(cells - 1))
     parts = parts.withColumn("cell", F.explode(F.sequence(F.least(F.floor(F.col("low") * cells), F.lit(cells - 1)), last)))
     top = F.max("high").over(Window.partitionBy("cell"))
     parts = parts.withColumn("high", F.when((F.col("cell") == cells - 1) & (F.col("high") == top), F.lit(2.0)).otherwise(F.col("high")))
-    point = (F.col("id") + 1) * F.lit(GOLDEN)
-    slot = spark.range(slots).select(F.col("id").alias("slot"), (point - F.floor(point)).alias("point"))
+    parts = parts.select("source", "low", "high", "cell")
+    n, mask = F.col("id") + 1, F.lit((1 << HALF) - 1).cast("long")
+    n1, n0, g1, g0 = F.shiftright(n, HALF), n.bitwiseAND(mask), F.lit(GOLDEN >> HALF).cast("long"), F.lit(GOLDEN & ((1 << HALF) - 1)).cast("long")
+    units = (F.shiftleft((n1 * g0 + n0 * g1).bitwiseAND(mask), HALF) + n0 * g0).bitwiseAND(F.lit((1 << 2 * HALF) - 1).cast("long"))
+    slot = targets.sparkSession.range(total or 0).select(F.col("id").alias("slot"), (units / F.lit(float(1 << 2 * HALF))).alias("point"))
     slot = slot.withColumn("cell", F.least(F.floor(F.col("point") * cells), F.lit(cells - 1)))
-    s = slot.join(parts, "cell").where("point >= low AND point < high AND slot < n_slots")
-    s = s.select("slot", "source", "block_words", "source_size", F.floor(F.col("slot") / segment).alias("segment"))
+    s = slot.join(F.broadcast(parts) if bounded(parts, BROADCAST_ROWS) else parts, "cell").where("point >= low AND point < high")
+    return s.select("slot", "source")
+
+
+def schedule(targets: DataFrame, segment: int = 1024) -> DataFrame:
+    """slot, source and rank (among the slots of its source, from 0) of the mixture.
+
+    Ranks are a running count over segments plus a rank within the segment, so that no task holds all slots of a large
+    source.
+    """
+    s = slots(targets).withColumn("segment", F.floor(F.col("slot") / segment))
     counts = s.groupBy("source", "segment").agg(F.count("*").alias("n"))
     before = Window.partitionBy("source").orderBy("segment").rowsBetween(Window.unboundedPreceding, -1)
     counts = counts.select(F.col("source").alias("of"), F.col("segment").alias("at"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("earlier"))
     s = s.withColumn("inner", F.row_number().over(Window.partitionBy("source", "segment").orderBy("slot")) - 1)
     s = s.join(counts, F.col("source").eqNullSafe(F.col("of")) & (F.col("segment") == F.col("at")))
-    return s.select("slot", "source", "source_size", "block_words", (F.col("earlier") + F.col("inner")).alias("rank"))
+    return s.select("slot", "source", (F.col("earlier") + F.col("inner")).alias("rank"))
 
 
 def streamed(sizes: DataFrame, buckets: int = 4096, seed: int = 11) -> DataFrame:
@@ -95,34 +107,26 @@ def streamed(sizes: DataFrame, buckets: int = 4096, seed: int = 11) -> DataFrame
     return d.select("doc_id", "source", "size", (F.col("earlier") + F.col("inner")).alias("begin"))
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3, slots: int = 1 << 18) -> DataFrame:
+def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3) -> DataFrame:
     """doc_id, source, size, source_size, target and taken (words that the mixture takes, repeats counted) of each row."""
     sizes = sized(docs)
-    targets = source_targets(sizes, weights, most)
-    plan = schedule(targets, slots)
-    blocks = F.ceil(F.col("source_size") / F.col("block_words")).cast("long")
-    times = plan.where(F.col("rank") < most * blocks).groupBy("source", F.pmod("rank", blocks).alias("block")).agg(F.count("*").alias("times"))
-    t = targets.select(F.col("source").alias("of"), "source_size", "target", F.greatest(F.ceil(F.col("total") / F.lit(slots)), F.lit(1)).cast("long").alias("block_words"))
-    d = streamed(sizes).join(F.broadcast(t) if t.limit(10_001).count() <= 10_000 else t, F.col("source").eqNullSafe(F.col("of"))).drop("of")
-    first, last = F.floor(F.col("begin") / F.col("block_words")), F.floor((F.col("begin") + F.greatest("size", F.lit(1)) - 1) / F.col("block_words"))
-    p = d.withColumn("block", F.explode(F.sequence(first, last)))
-    words = F.least(F.col("begin") + F.col("size"), (F.col("block") + 1) * F.col("block_words")) - F.greatest(F.col("begin"), F.col("block") * F.col("block_words"))
-    p = p.withColumn("words", words)
-    times = times.select(F.col("source").alias("of"), F.col("block").alias("at"), "times")
-    p = p.join(times, F.col("source").eqNullSafe(F.col("of")) & (F.col("block") == F.col("at")), "left")
-    p = p.withColumn("part", F.col("words") * F.coalesce("times", F.lit(0)))
-    # Words of a row that lie in one block need no further sum.
-    inside = F.col("begin") + F.greatest("size", F.lit(1)) <= (F.floor(F.col("begin") / F.col("block_words")) + 1) * F.col("block_words")
-    keep = ["doc_id", "source", "size", "source_size", "target"]
-    whole = p.where(inside).select(*keep, F.col("part").alias("taken"))
-    cut = p.where(~inside).groupBy(*keep, "begin").agg(F.sum("part").alias("taken")).select(*keep, "taken")
-    return whole.unionByName(cut)
-
-
-def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3, slots: int = 1 << 18) -> DataFrame:
+    targets = written(source_targets(sizes, weights, most), "targets")
+    # The ranks of a source's slots are 0 to their number, so the number says how often each word of its stream is taken.
+    number = slots(targets).groupBy("source").agg(F.count("*").alias("n")).withColumnRenamed("source", "has")
+    t = targets.join(number, F.col("source").eqNullSafe(F.col("has")), "left")
+    t = t.select(F.col("source").alias("of"), "source_size", "target", F.least(F.coalesce("n", F.lit(0)), F.col("source_size") * most).alias("n"))
+    t = written(t, "targets")
+    d = streamed(sizes).join(F.broadcast(t) if bounded(t, BROADCAST_ROWS) else t, F.col("source").eqNullSafe(F.col("of")))
+    size = F.greatest("source_size", F.lit(1))
+    rest = F.least(F.greatest(F.col("n") % size - F.col("begin"), F.lit(0)), F.col("size"))
+    taken = F.col("size") * F.floor(F.col("n") / size) + rest
+    return d.select("doc_id", "source", "size", "source_size", "target", taken.alias("taken"))
+
+
+def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3) -> DataFrame:
     """The documents of the mixture, with the columns of docs: a row for each whole time that a document is taken, and
     one with its first words for what is left. Documents not taken are absent. Needs doc_id to be a key of docs."""
-    taken = mix(docs, weights, most, slots).where("taken > 0").select(F.col("doc_id").alias("_id"), "taken", "size")
+    taken = mix(docs, weights, most).where("taken > 0").select(F.col("doc_id").alias("_id"), "taken", "size")
     whole, rest = F.floor(F.col("taken") / F.col("size")), F.col("taken") % F.col("size")
     d = docs.join(taken, F.col("doc_id") == F.col("_id"))
     d = d.withColumn("_copy", F.explode(F.sequence(F.lit(1), whole + F.when(rest > 0, 1).otherwise(0))))

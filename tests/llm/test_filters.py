@@ -93,6 +93,15 @@ def test_mixture(documents):
     assert [r.taken for r in mixing.mix(documents([(1, None), (2, "")])).collect()] == [0, 0]
 
 
+def test_small_sources_beside_a_large_one(documents):
+    rows = [(i, "w " * 20_000, "hot") for i in range(200)]
+    small = {"a": 100, "b": 300, "c": 1000, "d": 7}
+    rows += [(1000 + i, "x " * n, s) for i, (s, n) in enumerate(small.items())]
+    got = {r.source: r for r in mixing.mix(documents(rows)).where("source <> 'hot'").collect()}
+    for s, n in small.items():
+        assert got[s].target == 3 * n and got[s].taken == pytest.approx(3 * n, abs=4)
+
+
 def test_slots_are_spread(documents):
     rows = [(i, "w " * 50, "abc"[i % 3]) for i in range(60)]
     s = mixing.schedule(mixing.source_targets(mixing.sized(documents(rows)))).orderBy("slot").collect()
