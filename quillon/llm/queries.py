@@ -12,7 +12,7 @@ from .common import table
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = line_dedup.deduplicated(table(spark, sf_dir, "documents"))
+    d = line_dedup.deduplicated(table(spark, sf_dir, "documents"), apart=None)
     return d.select("doc_id", "n_lines", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 

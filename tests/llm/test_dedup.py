@@ -87,6 +87,42 @@ def test_fuzzy_lines(documents):
     assert got[0].n_lines == 0 and sum(r.n_removed for r in got.values()) == len(rows) - sum(map(len, kept.values()))
 
 
+def typo(word, rng):
+    i = rng.randrange(len(word))
+    return word[:i] + rng.choice("klmnopq") + word[i + 1 :]
+
+
+def damaged(words, kind, rng):
+    words = list(words)
+    if kind == "typo":
+        i = rng.randrange(len(words))
+        words[i] = typo(words[i], rng)
+    elif kind == "word":
+        words[rng.randrange(len(words))] = rng.choice(VOCABULARY)
+    else:  # typos in different words, as many as an edit similarity of 0.9 allows
+        for i in rng.sample(range(len(words)), min(len(words), len(" ".join(words)) // 10)):
+            words[i] = typo(words[i], rng)
+    return words
+
+
+def test_recall_of_edit_similarity(documents):
+    """Line 2i + 1 is a damaged copy of line 2i; what brute force links has to be found."""
+    rng, texts, cases = random.Random(8), [], {}
+    for n in (5, 8, 12, 20, 40):
+        for kind in ("typo", "word", "most"):
+            for _ in range(40):
+                words = [rng.choice(VOCABULARY) for _ in range(n)]
+                a, b = " ".join(words), " ".join(damaged(words, kind, rng))
+                if a != b and distance(a, b) <= max(len(a), len(b)) * 10 // 100:
+                    cases.setdefault((n, kind), []).append(len(texts) + 1)
+                texts += [a, b]
+    gone = {r.doc_id for r in line_dedup.deduplicated(documents(texts), apart=None).where("n_removed > 0").collect()}
+    recall = {c: (sum(i in gone for i in ids) / len(ids), len(ids)) for c, ids in cases.items()}
+    print(recall)
+    assert all(r >= 0.95 for (_, kind), (r, _) in recall.items() if kind != "most"), recall
+    assert all(i in {x for ids in cases.values() for x in ids} for i in gone)
+
+
 def test_lines_of_empty_tables_and_copies(documents):
     assert line_dedup.deduplicated(documents([])).count() == 0
     got = line_dedup.deduplicated(documents([(1, "one line here"), (1, "one line here"), (2, "one line here"), (3, "")])).collect()
