@@ -101,15 +101,20 @@ def streamed(sizes: DataFrame, buckets: int = 4096, seed: int = 11) -> DataFrame
     before = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     b = d.groupBy("source", "bucket").agg(F.sum("size").alias("n"))
     b = b.select(F.col("source").alias("of"), F.col("bucket").alias("at"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("earlier"))
-    inner = Window.partitionBy("source", "bucket").orderBy("mixed", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    ties = [F.xxhash64("row.text")] if "row" in sizes.columns else []
+    inner = Window.partitionBy("source", "bucket").orderBy("mixed", "doc_id", "size", *ties).rowsBetween(Window.unboundedPreceding, -1)
     d = d.withColumn("inner", F.coalesce(F.sum("size").over(inner), F.lit(0)))
     d = d.join(b, F.col("source").eqNullSafe(F.col("of")) & (F.col("bucket") == F.col("at")))
-    return d.select("doc_id", "source", "size", (F.col("earlier") + F.col("inner")).alias("begin"))
+    return d.select(*sizes.columns, (F.col("earlier") + F.col("inner")).alias("begin"))
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3) -> DataFrame:
     """doc_id, source, size, source_size, target and taken (words that the mixture takes, repeats counted) of each row."""
-    sizes = sized(docs)
+    return _taken(sized(docs), weights, most)
+
+
+def _taken(sizes: DataFrame, weights: tuple[int, ...], most: int) -> DataFrame:
+    """mix() of sized() rows; other columns stay."""
     targets = written(source_targets(sizes, weights, most), "targets")
     # The ranks of a source's slots are 0 to their number, so the number says how often each word of its stream is taken.
     number = slots(targets).groupBy("source").agg(F.count("*").alias("n")).withColumnRenamed("source", "has")
@@ -120,15 +125,17 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3) ->
     size = F.greatest("source_size", F.lit(1))
     rest = F.least(F.greatest(F.col("n") % size - F.col("begin"), F.lit(0)), F.col("size"))
     taken = F.col("size") * F.floor(F.col("n") / size) + rest
-    return d.select("doc_id", "source", "size", "source_size", "target", taken.alias("taken"))
+    return d.select(*sizes.columns, "source_size", "target", taken.alias("taken"))
 
 
 def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3) -> DataFrame:
     """The documents of the mixture, with the columns of docs: a row for each whole time that a document is taken, and
-    one with its first words for what is left. Documents not taken are absent. Needs doc_id to be a key of docs."""
-    taken = mix(docs, weights, most).where("taken > 0").select(F.col("doc_id").alias("_id"), "taken", "size")
-    whole, rest = F.floor(F.col("taken") / F.col("size")), F.col("taken") % F.col("size")
-    d = docs.join(taken, F.col("doc_id") == F.col("_id"))
+    one with its first words for what is left. Documents not taken are absent. Rows are taken as
+    they are, so doc_id may be null or repeated."""
+    size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
+    d = _taken(docs.select("doc_id", "source", size.alias("size"), F.struct(*docs.columns).alias("row")), weights, most).where("taken > 0")
+    d = d.select("row.*", F.floor(F.col("taken") / F.col("size")).alias("_whole"), (F.col("taken") % F.col("size")).alias("_rest"))
+    whole, rest = F.col("_whole"), F.col("_rest")
     d = d.withColumn("_copy", F.explode(F.sequence(F.lit(1), whole + F.when(rest > 0, 1).otherwise(0))))
     pieces = F.split(F.regexp_replace("text", "^" + SPACES, ""), r"(?<=[\x20\x09-\x0D])(?=[^\x20\x09-\x0D])")
     cut = F.col("_copy") > whole

@@ -102,6 +102,17 @@ def test_small_sources_beside_a_large_one(documents):
         assert got[s].target == 3 * n and got[s].taken == pytest.approx(3 * n, abs=4)
 
 
+def test_rows_without_a_key_are_mixed_as_rows(documents):
+    rows = [(None, "n1 " * 20, "a"), (None, "n2 " * 30, "a"), (5, "five " * 10, "b"), (5, "five " * 10, "b"), (6, "six " * 400, "c")]
+    plan = sorted((r.doc_id or 0, r.size, r.taken) for r in mixing.mix(documents(rows)).collect())
+    words = {}
+    for r in mixing.mixed_documents(documents(rows)).collect():
+        w = r.text.split()
+        words[w[0]] = words.get(w[0], 0) + len(w)
+    assert words["n1"] + words["n2"] == sum(t for i, _, t in plan if not i) > 0
+    assert words["five"] == sum(t for i, _, t in plan if i == 5) <= 60 and words["six"] == sum(t for i, _, t in plan if i == 6)
+
+
 def test_slots_are_spread(documents):
     rows = [(i, "w " * 50, "abc"[i % 3]) for i in range(60)]
     s = mixing.schedule(mixing.source_targets(mixing.sized(documents(rows)))).orderBy("slot").collect()
