@@ -46,11 +46,32 @@ def labelled(rows: DataFrame, key: str, comps: DataFrame) -> DataFrame:
     return rows.join(c, F.col(key) == F.col("_node"), "left").withColumn("root", F.coalesce("_root", key)).drop("_node", "_root")
 
 
+def crowded(lists: DataFrame) -> DataFrame:
+    """Of lists (key, node, root): _key, members, most (largest number of members of one component) of those with members of several components."""
+    sizes = lists.groupBy("key", "root").agg(F.count("*").alias("n"))
+    out = sizes.groupBy("key").agg(F.sum("n").alias("members"), F.max("n").alias("most"), F.count("*").alias("roots")).where("roots > 1")
+    return out.select(F.col("key").alias("_key"), "members", "most")
+
+
+def starred(lists: DataFrame, turn: int, columns: list[str], compatible) -> DataFrame:
+    """Pairs (u, v) of one center of each list with its other members, where they are in different components (root).
+
+    The center is a member of the list's largest component, by a hash that changes with `turn`, so that after a few
+    turns a group of near copies is connected without forming its pairs. `compatible` is a condition on columns that
+    begin with a. and b., of which `columns` are at hand.
+    """
+    sizes = lists.groupBy("key", "root").agg(F.count("*").alias("n"), F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), "node", *columns)).alias("c"))
+    center = sizes.groupBy("key").agg(F.max(F.struct("n", F.xxhash64("root", F.lit(turn)).alias("h"), "root", "c")).alias("m"), F.count("*").alias("roots")).where("roots > 1")
+    center = center.select("key", F.col("m.root").alias("root"), F.col("m.c.node").alias("node"), *(F.col(f"m.c.{c}").alias(c) for c in columns))
+    pairs = center.alias("a").join(lists.alias("b"), (F.col("a.key") == F.col("b.key")) & (F.col("a.root") != F.col("b.root")) & compatible)
+    return pairs.select(F.least("a.node", "b.node").alias("u"), F.greatest("a.node", "b.node").alias("v")).distinct()
+
+
 def across(lists: DataFrame, compatible) -> DataFrame:
     """Distinct pairs (u, v), u < v, of nodes that share a list (key) and are in different components (root).
 
     The pairs of nodes that are connected already are never formed: of each list, the rows outside its largest
-    component meet the others. `compatible` is a condition on the columns a.* and b.*.
+    component meet the others. `compatible` is a condition on the columns a.* and b.*, tested inside the join.
     """
     sizes = lists.groupBy("key", "root").agg(F.count("*").alias("n"))
     main = sizes.groupBy("key").agg(F.max(F.struct("n", "root")).alias("most"), F.count("*").alias("roots")).where("roots > 1")

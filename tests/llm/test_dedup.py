@@ -187,6 +187,9 @@ def test_jaccard_join(documents):
         want = {i: (len(sets[i]), r) for i, r in roots(range(len(texts)), links).items()}
         got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.joined(documents(texts), n, percent).collect()}
         assert got == want
+        # Lists of more than two members are refined.
+        finer = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.joined(documents(texts), n, percent, crowd=2).collect()}
+        assert finer == want
     kept = {r.doc_id for r in jaccard.one_each(documents(texts), 5, 80).collect()}
     assert kept == {r for _, r in want.values()}
 
@@ -208,4 +211,4 @@ def test_every_boundary_gives_the_same_pairs():
             if 100 * both < 85 * (2 * n - both):
                 continue
             for heavy in (2, 10, 25, 1000):
-                assert len(np.intersect1d(jaccard.keys_of(np.unique(a), counts, heavy, 85), jaccard.keys_of(np.unique(b), counts, heavy, 85)))
+                assert len(np.intersect1d(jaccard.keys_of(np.unique(a), counts, heavy, 85)[0], jaccard.keys_of(np.unique(b), counts, heavy, 85)[0]))
