@@ -13,21 +13,23 @@ def _smallest(edges: DataFrame) -> DataFrame:
     return edges.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("_u"), F.least("u", "m").alias("m"))
 
 
+def _starry(e: DataFrame) -> bool:
+    """Whether the links (u, v) are stars: each u has one v, which is no u."""
+    ends = e.select(F.col("u").alias("node"), F.lit(1).alias("up")).unionByName(e.select(F.col("v").alias("node"), F.lit(0).alias("up")))
+    n = ends.groupBy("node").agg(F.sum("up").alias("up"), F.min("up").alias("low"))
+    return n.where("up > 1 OR (up = 1 AND low = 0)").isEmpty()
+
+
 def components(edges: DataFrame, purpose: str = "components") -> DataFrame:
     """(node, root) for each node of the links (u, v), root being the least node that it reaches.
 
     A large star links the greater neighbours of each node to the least one, a small star the others; both keep what is
-    connected, and every round at least halves the depth. No node's links meet in one task but in joins, which can
-    split. Each round is written to the shared folder. Nulls in u or v are no links; no links give no rows.
+    connected, and every round at least halves the depth, until only stars are left. No node's links meet in one task but in
+    joins, which can split. Each round is written to the shared folder. Nulls in u or v are no links; no links give no rows.
     """
     e = edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     e = written(e, purpose)
-    state = None
-    while True:
-        now = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-        if now == state or not now[0]:
-            break
-        state = now
+    while not _starry(e):
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = both.join(_smallest(both), F.col("u") == F.col("_u")).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = large.where("u <> v").distinct()
@@ -53,17 +55,17 @@ def crowded(lists: DataFrame) -> DataFrame:
     return out.select(F.col("key").alias("_key"), "members", "most")
 
 
-def starred(lists: DataFrame, turn: int, columns: list[str], compatible) -> DataFrame:
-    """Pairs (u, v) of one center of each list with its other members, where they are in different components (root).
+def starred(lists: DataFrame, columns: list[str], compatible) -> DataFrame:
+    """Pairs (u, v) of two centers of each list with its other members.
 
-    The center is a member of the list's largest component, by a hash that changes with `turn`, so that after a few
-    turns a group of near copies is connected without forming its pairs. `compatible` is a condition on columns that
-    begin with a. and b., of which `columns` are at hand.
+    Centers are the members with the least and the greatest hash, so that in many lists a group of near copies meets
+    different ones, and is connected without forming its pairs. `compatible` is a condition on columns that begin with
+    a. and b., of which `columns` are at hand.
     """
-    sizes = lists.groupBy("key", "root").agg(F.count("*").alias("n"), F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), "node", *columns)).alias("c"))
-    center = sizes.groupBy("key").agg(F.max(F.struct("n", F.xxhash64("root", F.lit(turn)).alias("h"), "root", "c")).alias("m"), F.count("*").alias("roots")).where("roots > 1")
-    center = center.select("key", F.col("m.root").alias("root"), F.col("m.c.node").alias("node"), *(F.col(f"m.c.{c}").alias(c) for c in columns))
-    pairs = center.alias("a").join(lists.alias("b"), (F.col("a.key") == F.col("b.key")) & (F.col("a.root") != F.col("b.root")) & compatible)
+    one = F.struct(F.xxhash64("node", F.lit(7)).alias("h"), "node", *columns)
+    center = lists.groupBy("key").agg(F.min(one).alias("x"), F.max(one).alias("y")).where("x.node <> y.node")
+    center = center.select("key", F.explode(F.array("x", "y")).alias("c")).select("key", "c.node", *(f"c.{c}" for c in columns))
+    pairs = center.alias("a").join(lists.alias("b"), (F.col("a.key") == F.col("b.key")) & (F.col("a.node") != F.col("b.node")) & compatible)
     return pairs.select(F.least("a.node", "b.node").alias("u"), F.greatest("a.node", "b.node").alias("v")).distinct()
 
 
