@@ -67,24 +67,47 @@ def glob_to_like(pattern: str, substring: bool = False) -> str:
     return "".join({"*": "%", "?": "_", "%": r"\%", "_": r"\_", "\\": "\\\\"}.get(c, c) for c in pattern)
 
 
-#: Shapes of secrets, and names whose values are secret.
+#: Shapes of secrets.
 SECRETS = (
-    r"AKIA[0-9A-Z]{16}", r"gh[pousr]_[A-Za-z0-9]{36,}", r"github_pat_[A-Za-z0-9_]{20,}", r"xox[baprs]-[A-Za-z0-9-]{10,}",
-    r"sk-[A-Za-z0-9_-]{20,}", r"AIza[0-9A-Za-z_-]{35}", r"glpat-[0-9A-Za-z_-]{20}", r"eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}",
-    r"-----BEGIN [A-Z ]*PRIVATE KEY-----", r"npm_[A-Za-z0-9]{36}", r"sk_live_[0-9A-Za-z]{24,}", r"SG\.[A-Za-z0-9_-]{22}\.[A-Za-z0-9_-]{43}",
-)
-SECRET_NAMES = "password|passwd|secret|token|api_key|apikey|access_key|private_key|credential"
+    r"AKIA[0-9A-Z]{16}",
+    r"ASIA[0-9A-Z]{16}",
+    r"-----BEGIN [A-Z ]*PRIVATE KEY-----",
+    r"ghp_[A-Za-z0-9]{36}",
+    r"github_pat_[A-Za-z0-9_]{82}",
+    r"xox[baprs]-[A-Za-z0-9-]{10,}",
+    r"\bsk-(?:proj-)?[A-Za-z0-9_-]{20,}",
+    r"AIza[0-9A-Za-z_-]{35}",
+    r"sk_live_[0-9a-zA-Z]{24,}",
+    r"rk_live_[0-9a-zA-Z]{24,}",
+    r"glpat-[A-Za-z0-9_-]{20,}",
+    r"SG\.[A-Za-z0-9_-]{22,}\.[A-Za-z0-9_-]+",
+)
+#: A password in a URL, and a line that assigns a value to a key.
+CREDENTIAL_URL = r"([a-zA-Z][a-zA-Z0-9+.\-]*://[^:/?#\s]*:)[^@/?#\s]+(@)"
+ASSIGNMENT = r"^(\s*(?:[-|]\s*)?[A-Za-z0-9_.\-]+)(\s*[:=]\s*)(.+?)\s*$"
 
 
 def redact_tokens(text: Column) -> Column:
     return F.regexp_replace(text, "|".join(f"(?:{x})" for x in SECRETS), "***")
 
 
-def redact_line(text: Column) -> Column:
-    """Credentials in URLs, values of secret names, and secret tokens become ***."""
-    text = F.regexp_replace(text, r"(://)[^\s/@:]+:[^\s/@]+@", "$1***@")
-    text = F.regexp_replace(text, rf"(?i)\b((?:[a-z0-9]+_)*(?:{SECRET_NAMES}))(\s*[:=]\s*)(\"[^\"]*\"|'[^']*'|[^\s,;]+)", "$1$2***")
-    return redact_tokens(text)
+def redact_urls(text: Column) -> Column:
+    """Passwords in URLs as ***."""
+    return F.regexp_replace(text, CREDENTIAL_URL, "$1***$2")
+
+
+def redact_line(line: Column) -> Column:
+    """Passwords in URLs become ***; then the whole value of an assignment to a secret key, or else each secret token."""
+    from .prose import secret_key
+
+    urls = redact_urls(line)
+    key = F.regexp_extract(urls, ASSIGNMENT, 1)
+    return F.when((key != "") & secret_key(key), F.concat(key, F.regexp_extract(urls, ASSIGNMENT, 2), F.lit("***"))).otherwise(redact_tokens(urls))
+
+
+def redact_text(text: Column) -> Column:
+    """redact_line() of every line."""
+    return F.array_join(F.transform(F.split(text, "\n"), redact_line), "\n")
 
 
 def has_secret(text: Column) -> Column:
@@ -123,3 +146,9 @@ def cosine(a: Column, b: Column) -> Column:
 
 def norm(a: Column) -> Column:
     return F.sqrt(F.aggregate(a, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
+
+
+def hunk_risk(changed: Column, exported: Column) -> Column:
+    """Of a change of so many lines; one tier more where an exported symbol is touched."""
+    tier = F.when(changed >= 30, 2).when(changed >= 10, 1).otherwise(0)
+    return F.element_at(F.array(F.lit("low"), F.lit("medium"), F.lit("high")), F.least(tier + exported.cast("int"), F.lit(2)) + 1)

@@ -58,10 +58,35 @@ def tool_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def postings(chunk: DataFrame) -> DataFrame:
     """term, id, tf (weighted by column: content 1, path 2, kind 0.5), and len (all tokens of the chunk)."""
-    parts = [chunk.select("id", F.explode(tokens(F.col(c))).alias("term"), F.lit(w).alias("weight")) for c, w in (("content", 1.0), ("path", 2.0), ("kind", 0.5))]
-    t = parts[0].unionByName(parts[1]).unionByName(parts[2])
-    t = t.groupBy("id", "term").agg(F.sum("weight").alias("tf"), F.count("*").alias("n"))
-    return t.withColumn("len", F.sum("n").over(Window.partitionBy("id"))).select("term", "id", "tf", "len")
+    parts = [tokens(F.col(c)) for c in ("content", "path", "kind")]
+    t = chunk.select("id", *(p.alias(f"t{i}") for i, p in enumerate(parts)))
+
+    def weighted(column: str, weight: float):
+        return F.transform(column, lambda x: F.struct(x.alias("term"), F.lit(weight).alias("w")))
+
+    every = F.concat(weighted("t0", 1.0), weighted("t1", 2.0), weighted("t2", 0.5))
+    t = t.select("id", (F.size("t0") + F.size("t1") + F.size("t2")).cast("long").alias("len"), F.explode(every).alias("x"))
+    return t.groupBy(F.col("x.term").alias("term"), "id", "len").agg(F.sum("x.w").alias("tf")).select("term", "id", "tf", "len")
+
+
+_indexed: dict[tuple, tuple[str, str]] = {}
+
+
+def index(chunk: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
+    """postings() and their statistics as tables below spark.checkpoint.dir, sorted by term in each file, so that a query
+    reads the row groups of its terms. They are written once for each name and application: a name stands for a state of the
+    chunks, and another state needs another name."""
+    from .operators import retrieval
+    from .operators.loops import shared_dir
+
+    spark = chunk.sparkSession
+    key = (spark.sparkContext.applicationId, name)
+    if key not in _indexed:
+        base = shared_dir(spark)
+        postings(chunk).repartition("term").sortWithinPartitions("term", "id").write.parquet(f"{base}/postings")
+        retrieval.statistics(spark.read.parquet(f"{base}/postings")).write.parquet(f"{base}/statistics")
+        _indexed[key] = f"{base}/postings", f"{base}/statistics"
+    return tuple(spark.read.parquet(p) for p in _indexed[key])
 
 
 #: The same tables as SQL text for the comparison, by name; each may use those before it.
@@ -91,3 +116,61 @@ SQL: dict[str, str] = {
 def with_tables(body: str, *names: str) -> str:
     """SQL with the named tables in front."""
     return "WITH " + ", ".join(f"{n} AS ({SQL[n]})" for n in names) + (", " if body.lstrip().startswith("+") else " ") + body.lstrip().lstrip("+")
+
+
+#: Parts of the paths that stand in for a source tree.
+DIRS = ("src", "testdata", "legacy", "examples", "docs", "vendor/lib", "internal/mock", "compat/v1", "demo", "cmd/run")
+BASES = ("index.ts", "a_test.go", "test_x.py", "types.d.ts", "README.md", "Makefile", "ci.yml", "mod.rs", "main.go", "app.tsx", "x_spec.rb", "util.py", "lib.pyi", "run.sh", "notes.txt", "b.test.js", "c.h")
+EXTENSIONS = ("go", "py", "ts", "md")
+
+
+def _one_of(values: tuple[str, ...], index) -> F.Column:
+    return F.element_at(F.array(*map(F.lit, values)), (index % len(values) + 1).cast("int"))
+
+
+def paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """id and path of files of a source tree: a file for each document."""
+    d = read(spark, sf_dir, "documents")
+    return d.select(F.col("doc_id").alias("id"), F.concat_ws("/", "source", _one_of(DIRS, F.col("doc_id")), F.concat(F.lit("p"), (F.col("doc_id") % 7).cast("string")), _one_of(BASES, F.col("doc_id"))).alias("path"))
+
+
+def symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes with centrality: id, name, qualified, package, file, kind, start_line, end_line, rank, in_degree, community, chunk_id."""
+    p = read(spark, sf_dir, "part")
+    low = F.replace(F.col("p_name"), F.lit(" "), F.lit("_"))
+    name = F.when(F.col("p_partkey") % 3 == 0, F.concat(F.upper(F.substring(low, 1, 1)), F.substring(low, 2, 1000))).otherwise(low)
+    kind = _one_of(("function", "method", "type", "struct", "interface", "file"), F.col("p_partkey"))
+    ext = _one_of(EXTENSIONS, F.length("p_type"))
+    into = edges(spark, sf_dir).select("src", "dst").distinct().groupBy("dst").agg(F.count("*").alias("in_degree"))
+    s = p.join(into, F.col("p_partkey") == F.col("dst"), "left")
+    return s.select(
+        F.col("p_partkey").alias("id"), name.alias("name"), F.concat_ws(".", "p_brand", name).alias("qualified"), F.col("p_brand").alias("package"),
+        F.concat(F.col("p_brand"), F.lit("/"), F.col("p_type"), F.lit("."), ext).alias("file"), kind.alias("kind"), F.col("p_size").alias("start_line"),
+        (F.col("p_size") + (F.col("p_partkey") % 90).cast("int")).alias("end_line"), (F.col("p_retailprice") / 100000).alias("rank"),
+        F.coalesce("in_degree", F.lit(0)).alias("in_degree"), (F.col("p_partkey") % 13).alias("community"),
+        F.when(F.col("p_partkey") % 4 != 0, F.col("p_partkey") % 1000).alias("chunk_id"),
+    )
+
+
+def typed_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edges with a kind: src, dst, kind, line, file (of src) from orders' lines."""
+    li = read(spark, sf_dir, "lineitem").where("l_shipdate < '1995-07-01'")
+    kind = _one_of(("calls", "imports", "has_method", "implements", "links", "tagged", "embeds"), F.col("l_orderkey") + F.col("l_linenumber"))
+    parts = F.broadcast(read(spark, sf_dir, "part").agg(F.count("*").alias("parts")))  # one row
+    e = li.crossJoin(parts).select(F.col("l_partkey").alias("src"), ((F.col("l_suppkey") * 7 + F.col("l_orderkey")) % F.col("parts")).alias("dst"), kind.alias("kind"), F.col("l_linenumber").alias("line"))
+    return e.where("src <> dst").distinct()
+
+
+def _sql_one_of(values: tuple[str, ...], index: str) -> str:
+    return "(CASE " + index + f" % {len(values)} " + " ".join(f"WHEN {i} THEN '{v}'" for i, v in enumerate(values)) + " END)"
+
+
+SQL["paths"] = f"SELECT doc_id AS id, concat_ws('/', source, {_sql_one_of(DIRS, 'doc_id')}, 'p' || (doc_id % 7), {_sql_one_of(BASES, 'doc_id')}) AS path FROM documents"
+SQL["symbols"] = f"""SELECT id, name, package || '.' || name AS qualified, package, file, kind, start_line, end_line, rank, coalesce(in_degree, 0) AS in_degree, community, chunk_id FROM (
+    SELECT p_partkey AS id, CASE WHEN p_partkey % 3 = 0 THEN upper(p_name[1:1]) || replace(p_name[2:], ' ', '_') ELSE replace(p_name, ' ', '_') END AS name, p_brand AS package,
+        p_brand || '/' || p_type || '.' || {_sql_one_of(EXTENSIONS, 'length(p_type)')} AS file, {_sql_one_of(("function", "method", "type", "struct", "interface", "file"), 'p_partkey')} AS kind,
+        p_size AS start_line, CAST(p_size + p_partkey % 90 AS INTEGER) AS end_line, p_retailprice / 100000 AS rank, p_partkey % 13 AS community, CASE WHEN p_partkey % 4 <> 0 THEN p_partkey % 1000 END AS chunk_id FROM part)
+    LEFT JOIN (SELECT dst AS id, count(DISTINCT src) AS in_degree FROM edges GROUP BY dst) USING (id)"""
+SQL["typed_edges"] = f"""SELECT DISTINCT l_partkey AS src, (l_suppkey * 7 + l_orderkey) % (SELECT count(*) FROM part) AS dst,
+    {_sql_one_of(("calls", "imports", "has_method", "implements", "links", "tagged", "embeds"), '(l_orderkey + l_linenumber)')} AS kind, l_linenumber AS line
+    FROM lineitem WHERE l_shipdate < TIMESTAMP '1995-07-01' AND l_partkey <> (l_suppkey * 7 + l_orderkey) % (SELECT count(*) FROM part)"""

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -35,23 +36,44 @@ def coaccess(touches: DataFrame, recent: int = 6, most: float = 10.0, half_life:
     """a, b and weight of files that one session touches near each other (session, us, event_id, path): each touch
     reinforces its pairs with the last `recent` distinct other files; weights decay, grow by 1, and end at `most`.
 
-    The pairs of a touch come from a window over its session; the fold over a pair's touches is ordered, in pandas.
+    Touches of a session, and then those of a pair, pass in order through the batches of a partition with a state of a few
+    values, so that neither a long session nor a busy pair is ever held.
     """
-    w = Window.partitionBy("session").orderBy("us", "event_id")
-    # A file's place among the session's last touches of each file: what was touched since its last touch.
-    before = F.collect_list("path").over(w.rowsBetween(-256, -1))
-    t = touches.where("path IS NOT NULL").withColumn("before", F.slice(F.array_remove(F.array_distinct(F.reverse(before)), F.col("path")), 1, recent))
-    p = t.select("us", "event_id", "path", F.explode("before").alias("other"))
-    p = p.select(F.least("path", "other").alias("a"), F.greatest("path", "other").alias("b"), "us", "event_id")
-
-    def fold(d: pd.DataFrame) -> pd.DataFrame:
-        weight, at = 0.0, None
-        for us in d.sort_values(["us", "event_id"]).us:
-            weight = min(most, weight * math.exp(-(us - at) / 1e6 * math.log(2) / half_life) + 1) if at is not None else 1.0
-            at = us
-        return pd.DataFrame({"a": [d.a.iloc[0]], "b": [d.b.iloc[0]], "weight": [weight], "us": [at]})
-
-    return p.groupBy("a", "b").applyInPandas(fold, "a string, b string, weight double, us long")
+
+    def before(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        session, last = None, {}  # the latest touch of each file comes last; recent + 1 files are enough
+        for d in parts:
+            rows = []
+            for own, us, event_id, path in d.itertuples(index=False):
+                if own != session:
+                    session, last = own, {}
+                others = [p for p in reversed(last) if p != path][:recent]
+                rows += [(min(path, o), max(path, o), us, event_id) for o in others]
+                last.pop(path, None)
+                last[path] = None
+                if len(last) > recent + 1:
+                    del last[next(iter(last))]
+            yield pd.DataFrame(rows, columns=["a", "b", "us", "event_id"])
+
+    def fold(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        pair, weight, at = None, 0.0, 0
+        for d in parts:
+            rows = []
+            for a, b, us, _ in d.itertuples(index=False):
+                if (a, b) != pair:
+                    if pair:
+                        rows.append((*pair, weight, at))
+                    pair, weight = (a, b), 1.0
+                else:
+                    weight = min(most, weight * math.exp(-(us - at) / 1e6 * math.log(2) / half_life) + 1)
+                at = us
+            yield pd.DataFrame(rows, columns=["a", "b", "weight", "us"])
+        if pair:
+            yield pd.DataFrame([(*pair, weight, at)], columns=["a", "b", "weight", "us"])
+
+    t = touches.where("path IS NOT NULL").select("session", "us", "event_id", "path").repartition("session").sortWithinPartitions("session", "us", "event_id")
+    p = t.mapInPandas(before, "a string, b string, us long, event_id long")
+    return p.repartition("a", "b").sortWithinPartitions("a", "b", "us", "event_id").mapInPandas(fold, "a string, b string, weight double, us long")
 
 
 def tightest(points: DataFrame, spans: DataFrame, width: int = 64) -> DataFrame:

@@ -53,3 +53,77 @@ def regressions(now: DataFrame, before: DataFrame, tolerance: float = 0.01) -> D
     j = now.select("qid", F.col("ndcg").alias("now")).join(before.select("qid", F.col("ndcg").alias("before")), "qid", "full")
     state = F.when(F.col("before").isNull(), "only_now").when(F.col("now").isNull(), "only_before").when(F.col("now") < F.col("before") - tolerance, "worse").when(F.col("now") > F.col("before") + tolerance, "better").otherwise("same")
     return j.select("qid", "now", "before", state.alias("state"))
+
+
+def paired(now: DataFrame, before: DataFrame) -> DataFrame:
+    """One row of two reports (query, score): paired, only_now, only_ref, and the mean change of the pairs."""
+    j = now.select("query", F.col("score").alias("a")).join(before.select("query", F.col("score").alias("b")), "query", "full")
+    return j.agg(F.count_if(F.col("a").isNotNull() & F.col("b").isNotNull()).alias("paired"), F.count_if(F.col("b").isNull()).alias("only_now"), F.count_if(F.col("a").isNull()).alias("only_ref"), F.avg(F.col("a") - F.col("b")).alias("mean_change"))
+
+
+def mean_of_scored(answers: DataFrame, *by: str) -> DataFrame:
+    """faithfulness: the mean score of the answers that have one, 1 if none has; and how many have."""
+    return answers.groupBy(*by).agg(F.coalesce(F.avg("score"), F.lit(1.0)).alias("faithfulness"), F.count("score").alias("scored"))
+
+
+def compression_report(samples: DataFrame) -> DataFrame:
+    """Of each pass: mean ratio, share of samples that keep their anchors, whether all make the round trip, and samples."""
+    kept = F.avg(F.col("anchors").cast("int"))
+    return samples.groupBy("pass").agg(F.avg("ratio").alias("mean_ratio"), kept.alias("anchors_kept"), F.bool_and("round_trip").alias("round_trips"), F.count("*").alias("samples"))
+
+
+def type_regressions(now: DataFrame, before: DataFrame, tolerance: float, least: int) -> DataFrame:
+    """type, n, change and worse, for types with enough pairs of (qid, type, ndcg)."""
+    j = now.join(before.select("qid", "type", F.col("ndcg").alias("_b")), ["qid", "type"])
+    g = j.groupBy("type").agg(F.count("*").alias("n"), F.avg(F.col("ndcg") - F.col("_b")).alias("change")).where(F.col("n") >= least)
+    return g.withColumn("worse", F.col("change") < -tolerance)
+
+
+def query_set_hash(queries: DataFrame) -> DataFrame:
+    """hash and n of the distinct queries (text), whatever their order: small sets of golden queries."""
+    q = queries.where("text IS NOT NULL").select("text").distinct()
+    return q.agg(F.sha2(F.array_join(F.sort_array(F.collect_list("text")), "\n"), 256).alias("hash"), F.count("*").alias("n"))
+
+
+def grounded(answers: DataFrame, keys: list[str], overlap: float = 0.5, least: int = 3) -> DataFrame:
+    """keys, scored and grounded: sentences of the answer with enough words, and those half of whose words the evidence has."""
+    words = lambda c: F.array_distinct(F.filter(F.split(F.lower(c), "[^a-z0-9]+"), lambda x: F.length(x) >= 3))
+    s = answers.select(*keys, words(F.col("evidence")).alias("e"), F.explode(F.split("answer", "[.!?]+")).alias("sentence"))
+    s = s.withColumn("w", words(F.col("sentence"))).where((F.size("w") >= least) & (F.size("e") > 0))
+    ok = F.size(F.array_intersect("w", "e")) >= overlap * F.size("w")
+    return s.groupBy(*keys).agg(F.count("*").alias("scored"), F.count_if(ok).alias("grounded"))
+
+
+def golden_commits(subjects: DataFrame, commits: DataFrame, most: int, least_letters: int, distinct: bool = True) -> DataFrame:
+    """commit, subject and sorted files of commits with one to `most` files and a subject that is long enough; of equal
+    subjects the first commit, if `distinct`. A commit's files are bounded by `most`."""
+    n = commits.select("commit", "file").distinct().groupBy("commit").agg(F.count("*").alias("n")).where(F.col("n") <= most).select("commit")
+    f = commits.join(n, "commit", "left_semi").groupBy("commit").agg(F.sort_array(F.collect_set("file")).alias("files"))
+    j = subjects.where(F.length("subject") >= least_letters).join(f, "commit")
+    if distinct:
+        j = j.withColumn("_n", F.row_number().over(Window.partitionBy("subject").orderBy("commit"))).where("_n = 1").drop("_n")
+    return j
+
+
+def blast_radius(commits: DataFrame, most: int) -> DataFrame:
+    """anchor and the others that change with it, of commits of two to `most` files; equal ones once, with the first commit."""
+    size = F.count("*").over(Window.partitionBy("commit"))
+    c = commits.select("commit", "file").distinct().withColumn("n", size).where(F.col("n").between(2, most)).drop("n")
+    p = c.select("commit", F.col("file").alias("anchor")).join(c, "commit").where("anchor <> file")
+    o = p.groupBy("commit", "anchor").agg(F.sort_array(F.collect_list("file")).alias("f")).select("commit", "anchor", F.array_join(F.transform("f", lambda x: x.cast("string")), ",").alias("others"))
+    return o.groupBy("anchor", "others").agg(F.min("commit").alias("commit"))
+
+
+def validated(queries: DataFrame, least_letters: int) -> DataFrame:
+    """id and verdict of golden queries: empty, duplicate (of an earlier id), short or ok."""
+    nth = F.row_number().over(Window.partitionBy("text").orderBy("id"))
+    q = queries.withColumn("_n", nth)
+    verdict = F.when(F.trim(F.coalesce("text", F.lit(""))) == "", "empty").when(F.col("_n") > 1, "duplicate").when(F.length("text") < least_letters, "short").otherwise("ok")
+    return q.select("id", verdict.alias("verdict"))
+
+
+def navigation(ranked: DataFrame, gold: DataFrame) -> DataFrame:
+    """qid, first (rank of the first relevant row), calls (a search and a read each) and tokens read up to it."""
+    f = ranked.join(gold, ["qid", "id"], "left_semi").groupBy("qid").agg(F.min("rank").alias("first"))
+    r = ranked.join(f, "qid").where("rank <= first")
+    return r.groupBy("qid", "first").agg((F.first("first") + 1).alias("calls"), F.sum("cost").alias("tokens"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from itertools import count
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -146,17 +147,17 @@ def strong_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return left.join(done, "id", "left").select("id", F.coalesce("component", "id").alias("component"))
 
 
-def layers(nodes: DataFrame, edges: DataFrame, most: int = 50) -> DataFrame:
+def layers(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """component and layer of an acyclic graph's nodes: the longest path to a node that depends on nothing. Nodes on
     cycles, and those above, have none."""
     e = settled(pairs(edges).where("src <> dst"))
     ids = nodes.select("id").distinct()
     placed = settled(ids.join(e.select(F.col("src").alias("id")), "id", "left_anti").withColumn("layer", F.lit(0)))
-    for layer in range(1, most + 1):
+    for layer in count(1):
         open_ids = e.join(placed.select(F.col("id").alias("dst")), "dst", "left_anti").select(F.col("src").alias("id"))
         new = e.select(F.col("src").alias("id")).distinct().join(placed, "id", "left_anti").join(open_ids, "id", "left_anti")
         new = settled(new.withColumn("layer", F.lit(layer)))
-        if not new.limit(1).count():
+        if new.isEmpty():
             break
         placed = placed.unionByName(new)
     return placed
@@ -184,15 +185,18 @@ def package_graph(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return e.where("from_package <> to_package").groupBy("from_package", "to_package").agg(F.count("*").alias("calls"))
 
 
-def smells(nodes: DataFrame, edges: DataFrame, long: int = 80, crowded: int = 3, busy: int = 6) -> DataFrame:
-    """kind, id (or file) and value: long functions, functions that nobody calls, crowded files, nodes of many callers."""
-    d = degrees(nodes, edges)
-    functions = nodes.where("kind IN ('function', 'method')")
-    spans = functions.select(F.lit("long").alias("smell"), F.col("id").cast("string").alias("subject"), (F.col("end_line") - F.col("start_line")).cast("long").alias("value")).where(F.col("value") >= long)
-    dead = functions.join(d.where("in_degree = 0 AND out_degree > 0"), "id").select(F.lit("dead").alias("smell"), F.col("id").cast("string").alias("subject"), F.col("out_degree").alias("value"))
-    files = nodes.groupBy("file").agg(F.count("*").alias("value")).where(F.col("value") >= crowded).select(F.lit("god_file").alias("smell"), F.col("file").alias("subject"), "value")
-    nodes_ = d.where(F.col("in_degree") + F.col("out_degree") >= busy).select(F.lit("god_node").alias("smell"), F.col("id").cast("string").alias("subject"), (F.col("in_degree") + F.col("out_degree")).alias("value"))
-    return spans.unionByName(dead).unionByName(files).unionByName(nodes_)
+def smells(symbols: DataFrame, packages: DataFrame, long: int = 80, crowded: int = 3, busy: int = 10, busy_packages: int = 3) -> DataFrame:
+    """smell, subject and value: long functions, exported functions that nobody calls, files of many symbols, and
+    functions with many callers or callers from many packages (packages: id, packages)."""
+    f = symbols.where("kind IN ('function', 'method') AND file <> ''")
+    subject = F.col("id").cast("string").alias("subject")
+    spans = f.select(F.lit("long").alias("smell"), subject, (F.col("end_line") - F.col("start_line")).cast("long").alias("value")).where(F.col("value") >= long)
+    dead = f.where((F.col("in_degree") == 0) & F.col("name").rlike("^[A-Z]")).select(F.lit("dead_export").alias("smell"), subject, F.col("start_line").cast("long").alias("value"))
+    files = symbols.where("kind IN ('function', 'method', 'struct', 'type', 'interface') AND file <> ''").groupBy("file").agg(F.count("*").alias("value"))
+    files = files.where(F.col("value") >= crowded).select(F.lit("god_file").alias("smell"), F.col("file").alias("subject"), "value")
+    busy_nodes = f.join(packages, "id", "left").where((F.col("in_degree") >= busy) | (F.coalesce("packages", F.lit(0)) >= busy_packages))
+    gods = busy_nodes.select(F.lit("god_node").alias("smell"), subject, F.col("in_degree").alias("value"))
+    return spans.unionByName(dead).unionByName(files).unionByName(gods)
 
 
 def rollup(nodes: DataFrame, ranks: DataFrame, k: int = 3) -> DataFrame:

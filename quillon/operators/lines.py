@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import normalise_log
@@ -51,14 +51,29 @@ def coded(rows: DataFrame, book: DataFrame) -> DataFrame:
     return r.select("id", "line", text.alias("text"))
 
 
-def ngrams(chunks: DataFrame, n: int = 3, least: int = 2, most: int = 20) -> DataFrame:
-    """Word n-grams by what naming them would save: gram, count and net characters. A report of fixed length."""
-    words = F.array_remove(F.split("content", r"\s+"), "")
-    grams = F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - (n - 1), F.lit(1))), lambda i: F.array_join(F.slice("w", i, n), " "))
-    g = chunks.select("id", words.alias("w")).where(F.size("w") >= n).select(F.explode(grams).alias("gram"))
-    c = g.groupBy("gram").agg(F.count("*").alias("count")).where(F.col("count") >= least)
-    net = (F.col("count") - 1) * F.length("gram") - 2 * F.col("count")
-    return c.withColumn("net", net.cast("long")).where("net > 0").orderBy(F.col("net").desc(), "gram").limit(most)
+def ngram_codebook(rows: DataFrame, most: int = 20, ref: int = 1) -> DataFrame:
+    """id, gram, n and net of the word trigrams and bigrams (of one line) of each text that are worth a reference of `ref`
+    tokens: what they save exceeds their entry in the legend. Bigrams inside such a trigram don't count; the `most` best
+    of a text that has at least two."""
+    words = F.array_remove(F.split("text", r"\s+"), "")
+    w = rows.select("id", words.alias("w")).where(F.size("w") >= 2)
+
+    def counted(size: int) -> DataFrame:
+        shifted = F.arrays_zip(*(F.slice("w", F.lit(i + 1), F.greatest(F.size("w") - (size - 1), F.lit(0))).alias(f"w{i}") for i in range(size)))
+        g = w.select("id", F.explode(shifted).alias("g"))
+        c = g.groupBy("id", *(F.col(f"g.w{i}").alias(f"w{i}") for i in range(size))).agg(F.count("*").alias("n"))
+        gram = F.concat_ws(" ", *(f"w{i}" for i in range(size)))
+        cost = F.ceil(F.length(gram) / 3.5)
+        c = c.withColumn("gram", gram).withColumn("net", F.col("n") * (cost - ref) - (cost + ref + 3))
+        return c.where((cost > ref) & (F.col("net") > 0))
+
+    three, two = counted(3), counted(2)
+    inside = three.select("id", F.explode(F.array(F.struct(F.col("w0").alias("a"), F.col("w1").alias("b")), F.struct(F.col("w1").alias("a"), F.col("w2").alias("b")))).alias("x"))
+    inside = inside.select("id", F.col("x.a").alias("w0"), F.col("x.b").alias("w1")).distinct()
+    every = three.select("id", "gram", "n", "net").unionByName(two.join(inside, ["id", "w0", "w1"], "left_anti").select("id", "gram", "n", "net"))
+    g = Window.partitionBy("id")
+    every = every.withColumn("_m", F.count("*").over(g)).withColumn("_place", F.row_number().over(g.orderBy(F.col("net").desc(), "gram")))
+    return every.where((F.col("_m") >= 2) & (F.col("_place") <= most)).select("id", "gram", "n", F.col("net").cast("long").alias("net"))
 
 
 def within_budget(items: DataFrame, budget: int) -> DataFrame:
@@ -75,3 +90,87 @@ def diversity(chunks: DataFrame) -> DataFrame:
     p = F.col("c") / F.col("n")
     s = t.groupBy("id").agg(F.first("n").alias("n"), F.count("*").alias("distinct"), (-F.sum(p * F.log2(p))).alias("h"))
     return s.select("id", "n", (F.col("distinct") / F.col("n")).alias("share"), F.when(F.col("distinct") > 1, F.col("h") / F.log2("distinct")).otherwise(F.lit(0.0)).alias("entropy"))
+
+
+def grep_context(rows: DataFrame, pattern: str, around: int) -> DataFrame:
+    """Matching lines with the lines before and after them (arrays), as far as the text goes."""
+    w = Window.partitionBy("id").orderBy("line")
+    r = rows.withColumn("before", F.collect_list("text").over(w.rowsBetween(-around, -1))).withColumn("after", F.collect_list("text").over(w.rowsBetween(1, around)))
+    return r.where(F.col("text").rlike(pattern))
+
+
+def head(text: Column, n: int) -> Column:
+    return F.array_join(F.slice(F.split(text, "\n"), 1, n), "\n")
+
+
+def tail(text: Column, n: int) -> Column:
+    rows = F.split(text, "\n")
+    return F.array_join(F.slice(rows, F.greatest(F.size(rows) - n + 1, F.lit(1)), F.lit(n)), "\n")
+
+
+def line_range(text: Column, first: Column | int, last: Column | int) -> Column:
+    """The lines first to last (from 1), as far as there are any."""
+    first, last = (x if isinstance(x, Column) else F.lit(x) for x in (first, last))
+    return F.array_join(F.slice(F.split(text, "\n"), first, F.greatest(last - first + 1, F.lit(0))), "\n")
+
+
+def byte_entropy(texts: DataFrame) -> DataFrame:
+    """id and bits a byte of the texts of each id."""
+    pairs = F.regexp_extract_all(F.hex(F.encode("content", "UTF-8")), F.lit("(..)"), F.lit(1))
+    c = texts.select("id", F.explode(pairs).alias("byte")).groupBy("id", "byte").agg(F.count("*").alias("c"))
+    p = F.col("c") / F.sum("c").over(Window.partitionBy("id"))
+    return c.withColumn("p", p).groupBy("id").agg((F.lit(0.0) - F.sum(F.col("p") * F.log2("p"))).alias("bits"))
+
+
+def decoration(line: Column) -> Column:
+    """Blank lines and rules."""
+    return (F.trim(line) == "") | F.trim(line).rlike(r"^[-=_*#~]{3,}$")
+
+
+def cross_entropy(rows: DataFrame) -> DataFrame:
+    """id and bits a letter of its lines' letters, each after the two before it, under the counts of the whole text."""
+    i = F.sequence(F.lit(1), F.length("text") - 2)
+    g = rows.where("length(text) >= 3").select("id", F.explode(F.transform(i, lambda k: F.substring(F.col("text"), k, F.lit(3)))).alias("g"))
+    c = g.groupBy("id", "g").agg(F.count("*").alias("n")).withColumn("t", F.sum("n").over(Window.partitionBy("id", F.substring("g", 1, 2))))
+    return c.groupBy("id").agg((F.lit(0.0) - F.sum(F.col("n") * F.log2(F.col("n") / F.col("t"))) / F.sum("n")).alias("bits"))
+
+
+def symbol_map(texts: DataFrame, most: int = 23, least: int = 3) -> DataFrame:
+    """id, name, net and place of the long names of a text that are worth a short reference; none if there are too few."""
+    names = F.regexp_extract_all("content", F.lit("([A-Za-z_][A-Za-z0-9_]{5,})"), F.lit(1))
+    c = texts.select("id", F.explode(names).alias("name")).groupBy("id", "name").agg(F.count("*").alias("n"))
+    t = F.ceil(F.length("name") / 3.5)
+    g = c.withColumn("net", (F.col("n") * (t - 1) - (t + 3)).cast("long")).where("net > 0")
+    w = Window.partitionBy("id")
+    g = g.withColumn("place", F.row_number().over(w.orderBy(F.col("net").desc(), "name")).cast("long")).withColumn("m", F.count("*").over(w))
+    return g.where((F.col("m") >= least) & (F.col("place") <= most)).select("id", "name", "net", "place")
+
+
+def threshold(factor: Column) -> Column:
+    """The entropy below which lines go, from a language's factor of 0.6 to 1.2: 2.5 to 3.5."""
+    return 2.5 + F.least(F.greatest((factor - 0.6) / 0.6, F.lit(0.0)), F.lit(1.0))
+
+
+def log_dedup(rows: DataFrame, least: int = 10) -> DataFrame:
+    """id, before and after: lines and runs of texts of ten lines or more that have fewer runs than lines."""
+    r = run_lengths(rows).groupBy("id").agg(F.sum("n").alias("before"), F.count("*").alias("after"))
+    return r.where((F.col("before") >= least) & (F.col("after") < F.col("before")))
+
+
+def log_blocks(rows: DataFrame, least: int = 20, share: float = 0.2) -> DataFrame:
+    """id, before and after: lines, and first lines of their kind in a block, of texts that are mostly logs."""
+    from ..functions.prose import block_boundary, error_line
+
+    logs = rows.groupBy("id").agg(F.count("*").alias("n"), F.avg(error_line(F.col("text")).cast("int")).alias("s")).where((F.col("n") >= least) & (F.col("s") >= share)).select("id")
+    r = rows.join(logs, "id", "left_semi").withColumn("block", F.sum(block_boundary(F.col("text")).cast("int")).over(Window.partitionBy("id").orderBy("line")))
+    return r.groupBy("id").agg(F.count("*").alias("before"), F.count_distinct("block", normalise_log(F.col("text"))).alias("after"))
+
+
+def around_trigrams(rows: DataFrame, reach: int) -> DataFrame:
+    """id, line and around: the distinct trigrams of the lines up to `reach` before and after it."""
+    from ..functions.text import trigrams
+
+    w = Window.partitionBy("id").orderBy("line")
+    r = rows.withColumn("g", trigrams(F.col("text")))
+    near = F.concat(F.flatten(F.collect_list("g").over(w.rowsBetween(-reach, -1))), F.flatten(F.collect_list("g").over(w.rowsBetween(1, reach))))
+    return r.select("id", "line", F.array_distinct(near).alias("around"))

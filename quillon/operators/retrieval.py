@@ -9,8 +9,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: A block of query vectors this large goes to every task; larger sets of queries go in blocks.
-QUERY_BLOCK = 4096
+from ..functions import paths
+
+#: Vectors in a block, and the blocks of queries (of 64 dimensions: 0.5 MB each) that are broadcast at most.
+QUERY_BLOCK, VECTOR_BLOCK, BROADCAST_BLOCKS = 1024, 4096, 64
 
 
 def top(df: DataFrame, k: int, by: str, *order: Column, name: str = "rank") -> DataFrame:
@@ -18,41 +20,50 @@ def top(df: DataFrame, k: int, by: str, *order: Column, name: str = "rank") -> D
     return df.withColumn(name, F.row_number().over(Window.partitionBy(by).orderBy(*order))).where(F.col(name) <= k)
 
 
+def _blocks(vectors: DataFrame, key: str, size: int) -> DataFrame:
+    """Rows of up to `size` vectors: ids and their unit vectors, as bytes. Zero vectors are left out."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, size):
+                part = batch.slice(at, size)
+                ids = part.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
+                v = part.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(ids), -1)
+                norm = np.linalg.norm(v, axis=1)
+                ids, v = ids[norm > 0], v[norm > 0] / norm[norm > 0, None]
+                if len(ids):
+                    yield pa.RecordBatch.from_arrays([pa.array([ids.tobytes()], pa.binary()), pa.array([v.tobytes()], pa.binary())], ["ids", "rows"])
+
+    return vectors.where("embedding IS NOT NULL").select(key, "embedding").mapInArrow(pack, "ids binary, rows binary")
+
+
 def knn(vectors: DataFrame, queries: DataFrame, k: int, drop_self: bool = True) -> DataFrame:
     """qid, id, score and rank of the k nearest vectors (exact cosine) of each query (qid, embedding).
 
-    Each task scores its vectors against a block of queries by one matrix product and passes on its own k best, so what
-    is shuffled is k rows for each query and task. Zero vectors have no neighbours.
+    Vectors and queries are packed into blocks; each pair of blocks is one matrix product, of which the k best of each
+    query are kept, so what is shuffled is k rows for a query and block. No query passes through the driver, except that
+    up to BROADCAST_BLOCKS blocks of them are broadcast. Zero vectors have no neighbours.
     """
-    spark = vectors.sparkSession
-    rows, out = [(r[0], r[1]) for r in queries.select("qid", "embedding").toLocalIterator()], None
-    for at in range(0, max(1, len(rows)), QUERY_BLOCK):
-        ids = np.array([r[0] for r in rows[at : at + QUERY_BLOCK]], np.int64)
-        q = np.array([r[1] for r in rows[at : at + QUERY_BLOCK]], np.float64).reshape(len(ids), -1)
-        norms = np.linalg.norm(q, axis=1)
-        shared = spark.sparkContext.broadcast((ids[norms > 0], q[norms > 0] / norms[norms > 0, None]))
-
-        def score(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            ids, q = shared.value
-            for batch in batches:
-                if not len(ids) or not batch.num_rows:
-                    continue
-                own, column = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1)
-                v = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(batch.num_rows, -1)
-                size = np.linalg.norm(v, axis=1)
-                s = (q @ v.T) / np.where(size > 0, size, np.inf)
+    q, v = _blocks(queries, "qid", QUERY_BLOCK), _blocks(vectors, "id", VECTOR_BLOCK)
+    q = q.select(F.col("ids").alias("qids"), F.col("rows").alias("qrows"))
+    few = q.limit(BROADCAST_BLOCKS + 1).count() <= BROADCAST_BLOCKS
+    both = v.crossJoin(F.broadcast(q) if few else q)  # a stated set of queries against all rows, in blocks
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for ids, rows, qids, qrows in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                own, qid = np.frombuffer(ids, np.int64), np.frombuffer(qids, np.int64)
+                s = np.frombuffer(qrows, np.float64).reshape(len(qid), -1) @ np.frombuffer(rows, np.float64).reshape(len(own), -1).T
                 if drop_self:
-                    s[ids[:, None] == own[None, :]] = -np.inf
+                    s[qid[:, None] == own[None, :]] = -np.inf
                 n = min(k, len(own))
                 best = np.argpartition(-s, n - 1, axis=1)[:, :n]
-                which = np.repeat(np.arange(len(ids)), n)
+                which = np.repeat(np.arange(len(qid)), n)
                 got = s[which, best.ravel()]
                 keep = np.isfinite(got)
-                yield pa.RecordBatch.from_arrays([pa.array(ids[which][keep]), pa.array(own[best.ravel()][keep]), pa.array(got[keep])], ["qid", "id", "score"])
+                yield pa.RecordBatch.from_arrays([pa.array(qid[which][keep]), pa.array(own[best.ravel()][keep]), pa.array(got[keep])], ["qid", "id", "score"])
 
-        part = vectors.select("id", "embedding").mapInArrow(score, "qid long, id long, score double")
-        out = part if out is None else out.unionByName(part)
-    return top(out, k, "qid", F.round("score", 9).desc(), F.col("id"))
+    return top(both.select("ids", "rows", "qids", "qrows").mapInArrow(score, "qid long, id long, score double"), k, "qid", F.round("score", 9).desc(), F.col("id"))
 
 
 def statistics(postings: DataFrame) -> DataFrame:
@@ -60,15 +71,15 @@ def statistics(postings: DataFrame) -> DataFrame:
     return postings.groupBy("id").agg(F.first("len").alias("len")).agg(F.count("*").alias("n"), F.avg("len").alias("avglen"))
 
 
-def bm25(postings: DataFrame, terms: DataFrame, kinds: DataFrame | None = None, k1: float = 1.2, b: float = 0.75, window: float = 0.7) -> DataFrame:
+def bm25(postings: DataFrame, terms: DataFrame, kinds: DataFrame | None = None, k1: float = 1.2, b: float = 0.75, window: float = 0.7, stats: DataFrame | None = None) -> DataFrame:
     """qid, id and score of the chunks that have any of the query's terms (qid, term).
 
-    Only the postings of the queries' terms are read on; a term's document frequency comes from the same rows. Chunks of
-    kind `window` count `window` times as much.
+    Only the postings of the queries' terms are read on; a term's document frequency comes from the same rows. `stats`
+    is what statistics() gives, if it is at hand. Chunks of kind `window` count `window` times as much.
     """
     wanted = terms.distinct()
-    p = postings.join(F.broadcast(wanted.select("term").distinct()) if wanted.limit(100_001).count() <= 100_000 else wanted.select("term").distinct(), "term", "left_semi")
-    df = p.groupBy("term").agg(F.count("*").alias("df")).join(F.broadcast(statistics(postings)))
+    p = postings.join(wanted.select("term").distinct(), "term", "left_semi")
+    df = p.groupBy("term").agg(F.count("*").alias("df")).join(F.broadcast(statistics(postings) if stats is None else stats))  # one row
     idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     df = df.select("term", F.when(idf > 0, idf).otherwise(F.lit(1e-6)).alias("idf"), "avglen")
     weight = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avglen")))
@@ -100,19 +111,20 @@ def linear_fusion(dense: DataFrame, lexical: DataFrame, alpha: float = 0.7) -> D
     return both.select("qid", "id", (alpha * F.coalesce("d", F.lit(0.0)) + (1 - alpha) * F.coalesce("l", F.lit(0.0))).alias("score"))
 
 
-def noise_penalty(path: Column) -> Column:
-    """Paths of tests, old code and examples count less."""
-    p = F.lower(path)
-    return F.when(p.rlike(r"(^|[/_.-])tests?([/_.-]|$)"), 0.3).otherwise(1.0) * F.when(p.rlike("legacy|deprecated"), 0.3).otherwise(1.0) * F.when(p.rlike(r"(^|/)(examples?|samples?)/"), 0.3).otherwise(1.0)
-
+def local_rerank(hits: DataFrame, boost: float = 3.0, coherence: float = 1.15, decay: float = 0.7) -> DataFrame:
+    """hits (qid, id, path, dir, kind, score, symbol_query, rerank_score) with final.
 
-def local_rerank(hits: DataFrame, coherence: float = 1.15, decay: float = 0.7) -> DataFrame:
-    """hits (qid, id, path, dir, score) with final: penalised by path, raised where a directory has several hits, and
-    lowered from a directory's third hit on, in the order of the raised scores."""
-    s = hits.withColumn("base", F.col("score") * noise_penalty(F.col("path")))
-    s = s.withColumn("base", F.col("base") * F.when(F.count("*").over(Window.partitionBy("qid", "dir")) >= 2, coherence).otherwise(1.0))
+    Scores are lowered by what the path says, raised `boost` times for definitions if the query asks for a symbol, and
+    raised where a file (dir) has several hits; in the order of these scores a file's third hit and later ones decay.
+    Queries any hit of which has a score of a cross-encoder keep that order: final is the score.
+    """
+    w = Window.partitionBy("qid")
+    s = hits.withColumn("_done", F.max(F.coalesce("rerank_score", F.lit(0.0)) != 0).over(w))
+    base = F.col("score") * paths.penalty(F.col("path")) * F.when(F.col("symbol_query") & paths.boostable_kind(F.col("kind")), boost).otherwise(1.0)
+    s = s.withColumn("base", base * F.when(F.count("*").over(Window.partitionBy("qid", "dir")) >= 2, coherence).otherwise(1.0))
     place = F.row_number().over(Window.partitionBy("qid", "dir").orderBy(F.round("base", 9).desc(), "id"))
-    return s.withColumn("place", place).withColumn("final", F.col("base") * F.pow(F.lit(decay), F.greatest(F.col("place") - 2, F.lit(0)))).drop("base", "place")
+    final = F.col("base") * F.pow(F.lit(decay), F.greatest(F.col("place") - 2, F.lit(0)))
+    return s.withColumn("place", place).withColumn("final", F.when(F.col("_done"), F.col("score")).otherwise(final)).drop("base", "place", "_done")
 
 
 def file_cap(hits: DataFrame, per_dir: int) -> DataFrame:
@@ -159,3 +171,38 @@ def capped(v: Column, dim: int) -> Column:
     cut = F.slice(v, 1, dim)
     size = F.sqrt(F.aggregate(cut, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
     return F.transform(cut, lambda x: F.when(size > 0, x.cast("double") / size).otherwise(F.lit(0.0)))
+
+
+def over_fetched(items: DataFrame, order: list[Column], group: Column, k: int) -> DataFrame:
+    """The first k of a pool of max(5k, 30) rows after one row of each group is kept; rank is that in the pool."""
+    pool = items.orderBy(*order).limit(max(5 * k, 30))
+    ranked = pool.withColumn("rank", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(*order)))  # of a bounded pool
+    first = ranked.withColumn("_g", group).withColumn("_n", F.row_number().over(Window.partitionBy("_g").orderBy("rank"))).where("_n = 1")
+    return first.orderBy("rank").limit(k).drop("_g", "_n")
+
+
+def clamped(asked: Column, filtered: bool) -> tuple[Column, Column]:
+    """How many results to give (8 unless asked, 30 at most), and how many candidates to fetch (ten times as many, 50 to
+    500, where filters follow)."""
+    k = F.when(asked <= 0, 8).when(asked > 30, 30).otherwise(asked)
+    return k, F.least(F.greatest(k * 10, F.lit(50)), F.lit(500)) if filtered else k
+
+
+def suggested_reads(hits: DataFrame, k: int) -> DataFrame:
+    """The first k hits (id, path, score, rank, crossed, test), one a path: hits of several lanes first, then code before
+    tests, steps of a twentieth of the score, rank, score."""
+    best = hits.withColumn("_n", F.row_number().over(Window.partitionBy("path").orderBy(F.col("score").desc(), "id"))).where("_n = 1")
+    order = [F.when(F.col("crossed"), 0).otherwise(1), F.when(F.col("test"), 1).otherwise(0), F.floor(F.col("score") * 20).cast("int").desc(), F.col("rank").desc(), F.col("score").desc(), F.col("id")]
+    first = best.orderBy(*order).limit(k)
+    return first.withColumn("place", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(*order))).drop("_n")  # k rows
+
+
+def within_files(hits: DataFrame, files: DataFrame, by: str, least: int = 3) -> DataFrame:
+    """Ranked hits of the given files, followed by the first other hit of each file that has a lexical score. With fewer
+    than `least` files to choose from, all hits."""
+    f = files.select(F.col(by).alias("_f")).distinct()
+    marked = hits.join(f, F.col(by) == F.col("_f"), "left").withColumn("part", F.when(F.col("_f").isNotNull(), 0).otherwise(1))
+    rest = marked.where("part = 1 AND bm25 > 0").withColumn("_n", F.row_number().over(Window.partitionBy(by).orderBy("rank"))).where("_n = 1").drop("_n")
+    enough = F.broadcast(f.agg((F.count("*") >= least).alias("_enough")))  # one row
+    out = marked.where("part = 0").unionByName(rest).join(enough).where("_enough").unionByName(hits.withColumn("_f", F.lit(None)).withColumn("part", F.lit(0)).join(enough).where("NOT _enough"), allowMissingColumns=True)
+    return out.withColumn("place", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy("part", "rank"))).drop("_f", "part", "_enough")  # a bounded pool

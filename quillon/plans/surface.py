@@ -29,17 +29,42 @@ def lane(text: str) -> str:
     return "prose" if text else "empty"
 
 
+#: Shapes of names in a question, and the patterns of intents in the order in which they are tried.
+QUALIFIED = r"\(\*?[A-Z][A-Za-z0-9_]*\)\.[A-Za-z_][A-Za-z0-9_]*|\b[A-Z][A-Za-z0-9_]*\.[A-Za-z_][A-Za-z0-9_]*\b"
+PASCAL = r"\b[A-Z][A-Za-z0-9_]{2,}\b"
+CAMEL = r"\b[a-z][a-z0-9]*[A-Z][A-Za-z0-9_]*\b"
+SNAKE = r"\b[a-z][a-z0-9_]*_[a-z0-9_]+\b"
+REPOSITORY = r"(?:repo|repository|codebase|code ?base|project)"
+INTENTS = (
+    ("review", r"^\s*(?:please\s+|can you\s+|could you\s+)?(?:code\s+)?review\b|\breview (?:my|the|this|these|your) (?:changes?|diffs?|prs?|pull requests?|patch|work|commits?|branch|edits?|changeset)\b"),
+    ("orient", r"\b(?:orient me|get me oriented|help me get oriented|where (?:do|should) i start"
+        rf"|(?:understand|navigate|explore|tour|walk me through|walk through|explain|describe|give me (?:an? )?(?:overview|tour) of) (?:this|the|our) {REPOSITORY}"
+        rf"|(?:overview|tour|structure|layout|shape|high[- ]level (?:overview|view)) of (?:this|the|our) {REPOSITORY}"
+        rf"|(?:what is|what's|what does) (?:this|the) {REPOSITORY}(?: do| contain| look like)?"
+        rf"|how (?:is|are) (?:this|the|our) {REPOSITORY} (?:structured|organized|organised|laid out|set up|put together))\b"),
+    ("callers", r"\b(?:callers?|who calls|what calls|called by|usage of|usages of|references? to|where is .* used|where is .* called)\b"),
+    ("callees", r"\b(?:callees?|what does .* call|calls from|outgoing calls|dependencies of)\b"),
+    ("packages", r"\b(?:packages|modules?|topology|dependency graph|import graph|package layout)\b"),
+    ("architecture", r"\b(?:architecture|how does .* work|overview|big picture|design of|walk me through|how is .* organized)\b"),
+    ("editing", r"\b(?:edit|modify|refactor|rename|extend|fix|patch|implement|add)\b"),
+)
+
+
+def identifiers(text: Column) -> Column:
+    """The names in a question: qualified ones, then what is left in Pascal, camel and snake case; else the whole question
+    if it is one word of 3 to 32 letters."""
+    rest = F.regexp_replace(text, QUALIFIED, " ")
+    found = F.array_distinct(F.concat(*(F.regexp_extract_all(x, F.lit(f"({p})"), F.lit(1)) for x, p in ((text, QUALIFIED), (rest, PASCAL), (rest, CAMEL), (rest, SNAKE)))))
+    return F.when(F.size(found) > 0, found).when(F.trim(text).rlike("^[A-Za-z0-9_]{3,32}$"), F.array(F.trim(text))).otherwise(F.array().cast("array<string>"))
+
+
 def intent(text: Column) -> Column:
-    """The first of an ordered list of patterns that a question has."""
-    ladder = [
-        ("review", r"\b(review|diff|pull request)\b"), ("orient", r"\b(overview|orient|getting started)\b"), ("callers", r"\b(who calls|callers?|used by|usages?)\b"),
-        ("callees", r"\b(calls what|callees?)\b"), ("packages", r"\b(packages?|modules?|depend)"), ("architecture", r"\b(architecture|design|layers?|structure)\b"), ("editing", r"\b(change|edit|rename|refactor)\b"),
-    ]
-    lower = F.lower(text)
-    out = None
-    for name, pattern in ladder:
+    """The first intent whose pattern the question has; else symbol for up to three words with a name, else behavior."""
+    lower, out = F.lower(text), None
+    for name, pattern in INTENTS:
         out = F.when(lower.rlike(pattern), name) if out is None else out.when(lower.rlike(pattern), name)
-    return out.when(F.size(F.array_remove(F.split(F.trim(text), r"\s+"), "")) <= 3, "symbol").otherwise("behavior")
+    words = F.size(F.array_remove(F.split(text, r"\s+"), ""))
+    return out.when((F.size(identifiers(text)) > 0) & words.between(1, 3), "symbol").otherwise("behavior")
 
 
 def selected(nodes: DataFrame, selectors: str) -> DataFrame:
@@ -106,3 +131,12 @@ def pipe(g: Graph, text: str) -> DataFrame:
             return ids.agg(F.count("*").alias("count"))
         ids = _step(g, ids, name, int(n) if n else 0)
     return g.nodes.join(ids, "id", "left_semi").select("id", "name", "package", "file", "kind")
+
+
+def fan_out(roots: dict[str, DataFrame], ask: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The same question of several roots: the rows of all, with turn and root in the order of the roots, not merged."""
+    out = None
+    for turn, (root, df) in enumerate(roots.items()):
+        part = ask(df).withColumn("turn", F.lit(turn)).withColumn("root", F.lit(root))
+        out = part if out is None else out.unionByName(part)
+    return out

@@ -1,9 +1,7 @@
-"""Each operator as a query over the driver's tables, beside SQL that says the same in another engine's words."""
+"""Queries of retrieval, graph, coupling, telemetry, lines, evaluation, ingest and the query surface."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -11,29 +9,10 @@ from . import model
 from .functions import text as tx
 from .operators import coupling, evaluation, graph, lines, retrieval, telemetry
 from .plans import surface
+from .registry import ORACLE, QUERIES, query
+from .registry import rounded as _round
 from .sources import ingest
 
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-ORACLE: dict[str, str] = {}
-
-
-def query(sql: str | None = None, *tables: str) -> Callable[[Query], Query]:
-    """Registers a query by its function's name, with the SQL that gives the same rows."""
-
-    def add(f: Query) -> Query:
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE[f.__name__] = model.with_tables(sql, *tables) if tables else sql
-        return f
-
-    return add
-
-
-def _round(df: DataFrame, *names: str, digits: int = 6) -> DataFrame:
-    return df.withColumns({n: F.round(n, digits) for n in names})
-
-
 # -- retrieval -------------------------------------------------------------------------------------------------------
 
 _DENSE = """+dense AS (SELECT qid, id, score, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, id) AS rank FROM (
@@ -41,12 +20,15 @@ _DENSE = """+dense AS (SELECT qid, id, score, row_number() OVER (PARTITION BY qi
         list_sum(list_transform(list_zip(q.embedding, v.embedding), lambda x: CAST(x[1] AS DOUBLE) * CAST(x[2] AS DOUBLE)))
         / sqrt(list_sum(list_transform(q.embedding, lambda x: CAST(x AS DOUBLE) * x)) * list_sum(list_transform(v.embedding, lambda x: CAST(x AS DOUBLE) * x))) AS score
     FROM embeddings q, embeddings v WHERE q.vec_id % 20 = 0 AND q.vec_id <> v.vec_id) QUALIFY rank <= 30)"""
-_TERMS = "terms AS (SELECT DISTINCT id AS qid, term FROM (SELECT id, term, tf, row_number() OVER (PARTITION BY id ORDER BY tf DESC, term) AS r FROM postings WHERE id % 20 = 0) WHERE r <= 8)"
+_TOKENS_OF = "unnest(list_filter(regexp_split_to_array(translate(lower(text), 'àáâãäåçèéêëìíîïñòóôõöùúûüýÿ', 'aaaaaaceeeeiiiinooooouuuuyy'), '[^\\p{L}\\p{N}]+'), lambda x: length(x) >= 2))"
+#: Queries of both legs: every twentieth vector, with the text of a benchmark item.
+_HYBRID = f"terms AS (SELECT DISTINCT qid, term FROM (SELECT v.vec_id AS qid, {_TOKENS_OF} AS term FROM embeddings v JOIN benchmark b ON b.item_id = (v.vec_id // 20) % (SELECT count(*) FROM benchmark) WHERE v.vec_id % 20 = 0))"
+_ITEMS = f"terms AS (SELECT DISTINCT qid, term FROM (SELECT item_id AS qid, {_TOKENS_OF} AS term FROM benchmark))"
 _LEXICAL = """stats AS (SELECT count(*) AS n, avg(len) AS avglen FROM (SELECT DISTINCT id, len FROM postings)),
     df AS (SELECT term, count(*) AS df FROM postings GROUP BY term),
     idf AS (SELECT term, CASE WHEN ln((n - df + 0.5) / (df + 0.5)) > 0 THEN ln((n - df + 0.5) / (df + 0.5)) ELSE 1e-6 END AS idf, avglen FROM df, stats),
     scored AS (SELECT qid, p.id, sum(idf * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / avglen))) AS score FROM postings p JOIN idf USING (term) JOIN terms USING (term) GROUP BY qid, p.id),
-    lexical AS (SELECT qid, s.id, score * CASE WHEN kind = 'window' THEN 0.7 ELSE 1 END AS score FROM scored s JOIN chunks c ON c.id = s.id WHERE s.id <> qid),
+    lexical AS (SELECT qid, s.id, score * CASE WHEN kind = 'window' THEN 0.7 ELSE 1 END AS score FROM scored s JOIN chunks c ON c.id = s.id),
     lex AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, id) AS rank FROM lexical QUALIFY rank <= 30)"""
 
 
@@ -55,16 +37,26 @@ def _dense(spark: SparkSession, sf_dir: str, k: int = 30) -> DataFrame:
     return retrieval.knn(v, v.where("id % 20 = 0").select(F.col("id").alias("qid"), "embedding"), k)
 
 
-def _terms(p: DataFrame) -> DataFrame:
-    t = p.where("id % 20 = 0").withColumn("r", F.row_number().over(Window.partitionBy("id").orderBy(F.col("tf").desc(), "term")))
-    return t.where("r <= 8").select(F.col("id").alias("qid"), "term")
+def _query_terms(texts: DataFrame) -> DataFrame:
+    """The distinct tokens of two letters or more of queries (qid, text)."""
+    return texts.select("qid", F.explode(F.filter(tx.tokens(F.col("text")), lambda x: F.length(x) >= 2)).alias("term")).distinct()
 
 
-def _lexical(spark: SparkSession, sf_dir: str, k: int = 30) -> DataFrame:
+def _lexical(spark: SparkSession, sf_dir: str, texts: DataFrame, k: int = 30) -> DataFrame:
     c = model.chunks(spark, sf_dir)
-    p = model.postings(c)
-    s = retrieval.bm25(p, _terms(p), c).where("id <> qid")
-    return retrieval.top(s, k, "qid", F.round("score", 9).desc(), F.col("id"))
+    p, stats = model.index(c, sf_dir)
+    return retrieval.top(retrieval.bm25(p, _query_terms(texts), c, stats=stats), k, "qid", F.round("score", 9).desc(), F.col("id"))
+
+
+def _hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    b = model.read(spark, sf_dir, "benchmark").select("item_id", "text")
+    n = F.broadcast(b.agg(F.count("*").alias("n")))  # one row
+    v = model.vectors(spark, sf_dir).where("id % 20 = 0").select(F.col("id").alias("qid")).join(n)
+    return v.join(b, F.floor(F.col("qid") / 20) % F.col("n") == F.col("item_id")).select("qid", "text")
+
+
+def _both_legs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    return _dense(spark, sf_dir), _lexical(spark, sf_dir, _hybrid(spark, sf_dir))
 
 
 @query("WITH " + _DENSE[1:] + " SELECT qid, id, round(score, 6) AS score, rank FROM dense WHERE rank <= 10")
@@ -72,15 +64,17 @@ def rt01_knn_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _round(_dense(spark, sf_dir, 10), "score").select("qid", "id", "score", F.col("rank").cast("long").alias("rank"))
 
 
-@query(f"+{_TERMS}, {_LEXICAL} SELECT qid, id, round(score, 6) AS score, rank FROM lex WHERE rank <= 10", "chunks", "tokens", "postings")
+@query(f"+{_ITEMS}, {_LEXICAL} SELECT qid, id, round(score, 6) AS score, rank FROM lex WHERE rank <= 10", "chunks", "tokens", "postings")
 def rt04_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _round(_lexical(spark, sf_dir, 10), "score").select("qid", "id", "score", F.col("rank").cast("long").alias("rank"))
+    items = model.read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), "text")
+    return _round(_lexical(spark, sf_dir, items, 10), "score").select("qid", "id", "score", F.col("rank").cast("long").alias("rank"))
 
 
-@query(_DENSE + f", {_TERMS}, {_LEXICAL}" + """, r AS (SELECT qid, id, 1.0 / (60 + rank) AS s FROM dense UNION ALL SELECT qid, id, 1.4 / (60 + rank) FROM lex)
+@query(_DENSE + f", {_HYBRID}, {_LEXICAL}" + """, r AS (SELECT qid, id, 1.0 / (60 + rank) AS s FROM dense UNION ALL SELECT qid, id, 1.4 / (60 + rank) FROM lex)
     SELECT qid, id, round(sum(s), 6) AS score FROM r GROUP BY qid, id""", "chunks", "tokens", "postings")
 def rt05_rrf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _round(retrieval.rrf([(_dense(spark, sf_dir), 1.0), (_lexical(spark, sf_dir), 1.4)]), "score")
+    dense, lexical = _both_legs(spark, sf_dir)
+    return _round(retrieval.rrf([(dense, 1.0), (lexical, 1.4)]), "score")
 
 
 _LINEAR = """, d AS (SELECT qid, id, CASE WHEN max(score) OVER w > min(score) OVER w THEN (score - min(score) OVER w) / (max(score) OVER w - min(score) OVER w) ELSE 0 END AS d FROM dense WINDOW w AS (PARTITION BY qid)),
@@ -89,20 +83,26 @@ _LINEAR = """, d AS (SELECT qid, id, CASE WHEN max(score) OVER w > min(score) OV
 
 
 def _fused(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return retrieval.linear_fusion(_dense(spark, sf_dir), _lexical(spark, sf_dir))
+    return retrieval.linear_fusion(*_both_legs(spark, sf_dir))
 
 
-@query(_DENSE + f", {_TERMS}, {_LEXICAL}{_LINEAR} SELECT qid, id, round(score, 6) AS score FROM fused", "chunks", "tokens", "postings")
+@query(_DENSE + f", {_HYBRID}, {_LEXICAL}{_LINEAR} SELECT qid, id, round(score, 6) AS score FROM fused", "chunks", "tokens", "postings")
 def rt06_linear_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _round(_fused(spark, sf_dir), "score")
 
 
-@query(_DENSE + f", {_TERMS}, {_LEXICAL}{_LINEAR}" + """, h AS (SELECT qid, f.id, c.dir, score * CASE WHEN count(*) OVER (PARTITION BY qid, c.dir) >= 2 THEN 1.15 ELSE 1 END AS base FROM fused f JOIN chunks c ON c.id = f.id),
+@query(_DENSE + f", {_HYBRID}, {_LEXICAL}{_LINEAR}" + """, g AS (SELECT qid, f.id, p.path, c.dir, score, CASE WHEN f.id % 3 = 0 THEN 'function_declaration' ELSE c.kind END AS kind, qid % 40 = 0 AS symbol_query, qid % 60 = 20 AS done FROM fused f JOIN chunks c ON c.id = f.id JOIN paths p ON p.id = f.id),
+    h AS (SELECT *, score * CASE WHEN regexp_matches(path, '(_test\\.go|\\.test\\.js|_spec\\.rb)$|(^|/)test_[^/]*\\.py$') OR list_has_any(string_split(path, '/'), ['testdata', 'mock']) THEN 0.3 ELSE 1 END * CASE WHEN list_has_any(string_split(path, '/'), ['legacy', 'compat']) THEN 0.3 ELSE 1 END
+        * CASE WHEN list_has_any(string_split(path, '/'), ['examples', 'demo']) THEN 0.3 ELSE 1 END * CASE WHEN regexp_matches(path, '(^|/)(index\\.ts|mod\\.rs)$') THEN 0.5 ELSE 1 END * CASE WHEN path LIKE '%.d.ts' OR path LIKE '%.pyi' THEN 0.7 ELSE 1 END
+        * CASE WHEN symbol_query AND kind = 'function_declaration' THEN 3.0 ELSE 1 END * CASE WHEN count(*) OVER (PARTITION BY qid, dir) >= 2 THEN 1.15 ELSE 1 END AS base FROM g),
     p AS (SELECT *, row_number() OVER (PARTITION BY qid, dir ORDER BY round(base, 9) DESC, id) AS place FROM h),
-    r AS (SELECT qid, id, base * pow(0.7, greatest(place - 2, 0)) AS final FROM p)
-    SELECT qid, id, round(final, 6) AS final, row_number() OVER (PARTITION BY qid ORDER BY round(final, 9) DESC, id) AS rank FROM r QUALIFY rank <= 10""", "chunks", "tokens", "postings")
+    r AS (SELECT qid, id, CASE WHEN done THEN score ELSE base * pow(0.7, greatest(place - 2, 0)) END AS final FROM p)
+    SELECT qid, id, round(final, 6) AS final, row_number() OVER (PARTITION BY qid ORDER BY round(final, 9) DESC, id) AS rank FROM r QUALIFY rank <= 10""", "chunks", "tokens", "postings", "paths")
 def rt18_local_rerank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hits = _fused(spark, sf_dir).join(model.chunks(spark, sf_dir).select("id", "path", "dir"), "id")
+    q = F.col("qid")
+    c = model.chunks(spark, sf_dir).select("id", "dir", F.when(F.col("id") % 3 == 0, "function_declaration").otherwise(F.col("kind")).alias("kind"))
+    hits = _fused(spark, sf_dir).join(c, "id").join(model.paths(spark, sf_dir), "id")
+    hits = hits.withColumn("symbol_query", q % 40 == 0).withColumn("rerank_score", F.when(q % 60 == 20, 0.5).otherwise(0.0))
     r = retrieval.top(retrieval.local_rerank(hits), 10, "qid", F.round("final", 9).desc(), F.col("id"))
     return _round(r.select("qid", "id", "final", F.col("rank").cast("long").alias("rank")), "final")
 
@@ -215,33 +215,33 @@ def _recursive(sql: str) -> str:
 
 
 def _seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return model.nodes(spark, sf_dir).where("id % 10 = 0").select(F.col("id").alias("seed"))
+    """All nodes: an impact is asked of each."""
+    return model.nodes(spark, sf_dir).select(F.col("id").alias("seed"))
 
 
-@query(_recursive("+" + _REACH.format(a="dst", b="src", seeds="WHERE dst % 10 = 0", depth=3) + " SELECT seed, id, depth FROM reach"))
+@query(_recursive("+" + _REACH.format(a="dst", b="src", seeds="", depth=3) + " SELECT seed, id, depth FROM reach"))
 def gr12_impact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.reach(model.edges(spark, sf_dir), _seeds(spark, sf_dir), 3, reverse=True)
 
 
-@query(_recursive("+" + _REACH.format(a="dst", b="src", seeds="WHERE dst % 10 = 0", depth=5) + """, n AS (SELECT n.id AS seed, count(r.id) AS n FROM nodes n LEFT JOIN reach r ON r.seed = n.id WHERE n.id % 10 = 0 GROUP BY 1)
+@query(_recursive("+" + _REACH.format(a="dst", b="src", seeds="", depth=5) + """, n AS (SELECT n.id AS seed, count(r.id) AS n FROM nodes n LEFT JOIN reach r ON r.seed = n.id GROUP BY 1)
     SELECT seed, n, CASE WHEN n <= 1 THEN 'Low' WHEN n <= 4 THEN 'Medium' WHEN n <= 10 THEN 'High' ELSE 'Critical' END AS level FROM n"""))
 def gr13_risk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.risk(model.edges(spark, sf_dir), _seeds(spark, sf_dir))
 
 
-@query(_recursive("+" + _REACH.format(a="src", b="dst", seeds="WHERE src % 10 = 0", depth=6) + " SELECT seed AS src, id AS dst, depth AS length FROM reach WHERE id % 7 = 0"))
+@query(_recursive("+" + _REACH.format(a="src", b="dst", seeds="WHERE src % 20 = 0", depth=6) + " SELECT seed AS src, id AS dst, depth AS length FROM reach"))
 def gr14_shortest_path(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = model.nodes(spark, sf_dir)
+    """A search: from every node whose id is divisible by 20 to all ends."""
     e = model.edges(spark, sf_dir)
-    paths = graph.reach(e, _seeds(spark, sf_dir), 6).join(n.where("id % 7 = 0").select("id"), "id", "left_semi")
-    ends = paths.select(F.col("seed").alias("src"), F.col("id").alias("dst"))
+    ends = graph.reach(e, _seeds(spark, sf_dir).where("seed % 20 = 0"), 6).select(F.col("seed").alias("src"), F.col("id").alias("dst"))
     return graph.shortest_paths(e, ends)
 
 
 _PR = _unrolled_rank(20)
 
 
-@query(_recursive(_PR + ", " + _REACH.format(a="dst", b="src", seeds="WHERE dst % 10 = 0", depth=3) + """, p AS (SELECT seed, depth, row_number() OVER (PARTITION BY seed, depth ORDER BY round(r.rank, 9) DESC, i.id) AS place, i.id, name,
+@query(_recursive(_PR + ", " + _REACH.format(a="dst", b="src", seeds="", depth=3) + """, p AS (SELECT seed, depth, row_number() OVER (PARTITION BY seed, depth ORDER BY round(r.rank, 9) DESC, i.id) AS place, i.id, name,
     greatest(count(*) OVER (PARTITION BY seed, depth) - 2, 0) AS more FROM reach i JOIN r20 r ON r.id = i.id JOIN nodes n ON n.id = i.id) SELECT seed, depth, place, id, name, more FROM p WHERE place <= 2"""))
 def wn05_per_depth_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
     n, e = _graph(spark, sf_dir)
@@ -279,26 +279,26 @@ def ag18_top_packages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _round(n.join(graph.pagerank(n, e), "id").groupBy("package").agg(F.sum("rank").alias("total")), "total", digits=8)
 
 
-@query("""+e AS (SELECT DISTINCT src, dst FROM edges), i AS (SELECT dst AS id, count(*) AS n FROM e GROUP BY 1), o AS (SELECT src AS id, count(*) AS n FROM e GROUP BY 1),
-    d AS (SELECT id, kind, coalesce(i.n, 0) AS i, coalesce(o.n, 0) AS o, start_line, end_line FROM nodes LEFT JOIN i USING (id) LEFT JOIN o USING (id))
-    SELECT 'long' AS smell, CAST(id AS VARCHAR) AS subject, CAST(end_line - start_line AS BIGINT) AS value FROM d WHERE kind IN ('function', 'method') AND end_line - start_line >= 80
-    UNION ALL SELECT 'dead', CAST(id AS VARCHAR), o FROM d WHERE kind IN ('function', 'method') AND i = 0 AND o > 0
-    UNION ALL SELECT 'god_file', file, count(*) FROM nodes GROUP BY file HAVING count(*) >= 3
-    UNION ALL SELECT 'god_node', CAST(id AS VARCHAR), i + o FROM d WHERE i + o >= 6""", "nodes", "edges")
+@query("""+k AS (SELECT dst AS id, count(DISTINCT a.package) AS packages FROM edges JOIN symbols a ON a.id = src JOIN symbols b ON b.id = dst WHERE a.package <> b.package GROUP BY dst), f AS (SELECT * FROM symbols WHERE kind IN ('function', 'method') AND file <> '')
+    SELECT 'long' AS smell, CAST(id AS VARCHAR) AS subject, CAST(end_line - start_line AS BIGINT) AS value FROM f WHERE end_line - start_line >= 80
+    UNION ALL SELECT 'dead_export', CAST(id AS VARCHAR), start_line FROM f WHERE in_degree = 0 AND substr(name, 1, 1) BETWEEN 'A' AND 'Z'
+    UNION ALL SELECT 'god_file', file, count(*) FROM symbols WHERE kind IN ('function', 'method', 'struct', 'type', 'interface') AND file <> '' GROUP BY file HAVING count(*) >= 3
+    UNION ALL SELECT 'god_node', CAST(id AS VARCHAR), in_degree FROM f LEFT JOIN k USING (id) WHERE in_degree >= 4 OR coalesce(packages, 0) >= 3""", "edges", "symbols")
 def gr25_smells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.smells(*_graph(spark, sf_dir))
+    s = model.symbols(spark, sf_dir)
+    return graph.smells(s, graph.cross_package(s, model.edges(spark, sf_dir)), busy=4)
 
 
 def _unrolled_spread(hops: int) -> str:
-    out = "+b AS (SELECT src, dst FROM edges WHERE src <> dst UNION SELECT dst, src FROM edges WHERE src <> dst), n AS (SELECT src, count(*) AS n FROM b GROUP BY 1), a0 AS (SELECT id, CAST(1.0 AS DOUBLE) AS score FROM nodes WHERE id % 50 = 0)"
+    out = "+b AS (SELECT src, dst FROM edges WHERE src <> dst UNION SELECT dst, src FROM edges WHERE src <> dst), n AS (SELECT src, count(*) AS n FROM b GROUP BY 1), a0 AS (SELECT id, CAST(1.0 AS DOUBLE) AS score FROM nodes WHERE id % 20 = 0)"
     for i in range(hops):
         out += f", a{i + 1} AS (SELECT id, sum(score) AS score FROM (SELECT id, score FROM a{i} UNION ALL SELECT b.dst, a.score * 0.7 / n.n FROM a{i} a JOIN b ON b.src = a.id JOIN n ON n.src = a.id WHERE a.score > 0.0001) GROUP BY id)"
     return out
 
 
-@query(_unrolled_spread(4) + " SELECT id, round(score, 6) AS score FROM a4 WHERE id % 50 <> 0", "nodes", "edges")
+@query(_unrolled_spread(4) + " SELECT id, round(score, 6) AS score FROM a4 WHERE id % 20 <> 0", "nodes", "edges")
 def rt15_spreading(spark: SparkSession, sf_dir: str) -> DataFrame:
-    seeds = model.nodes(spark, sf_dir).where("id % 50 = 0").select("id", F.lit(1.0).alias("score"))
+    seeds = model.nodes(spark, sf_dir).where("id % 20 = 0").select("id", F.lit(1.0).alias("score"))
     return _round(graph.spreading(model.edges(spark, sf_dir), seeds), "score")
 
 
@@ -340,12 +340,12 @@ def sm06_coaccess(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _round(coupling.coaccess(model.tool_events(spark, sf_dir)), "weight")
 
 
-@query("""+p AS (SELECT l_orderkey * 10 + 0 AS k, p_brand || '/' || p_type AS file, l_linenumber * 9 AS line, l_orderkey, l_partkey, l_suppkey, l_linenumber FROM lineitem JOIN part ON p_partkey = l_partkey WHERE l_orderkey % 50 = 0),
+@query("""+p AS (SELECT l_orderkey * 10 + 0 AS k, p_brand || '/' || p_type AS file, l_linenumber * 9 AS line, l_orderkey, l_partkey, l_suppkey, l_linenumber FROM lineitem JOIN part ON p_partkey = l_partkey),
     q AS (SELECT DISTINCT concat_ws(':', l_orderkey, l_linenumber, l_partkey, l_suppkey) AS key, file, line FROM p),
     h AS (SELECT key, q.file, line, n.id, n.start_line, n.end_line, row_number() OVER (PARTITION BY key ORDER BY n.end_line - n.start_line, n.id) AS r FROM q JOIN nodes n ON n.file = q.file AND n.start_line <= line AND line <= n.end_line)
     SELECT key, file, line, id, start_line, end_line FROM h WHERE r = 1""", "nodes")
 def jn04_tightest_span(spark: SparkSession, sf_dir: str) -> DataFrame:
-    li = model.read(spark, sf_dir, "lineitem").where("l_orderkey % 50 = 0").join(model.read(spark, sf_dir, "part"), F.col("p_partkey") == F.col("l_partkey"))
+    li = model.read(spark, sf_dir, "lineitem").join(model.read(spark, sf_dir, "part"), F.col("p_partkey") == F.col("l_partkey"))
     p = li.select(F.concat_ws(":", *(F.col(c).cast("string") for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"))).alias("key"), F.concat_ws("/", "p_brand", "p_type").alias("file"), (F.col("l_linenumber") * 9).alias("line")).distinct()
     return coupling.tightest(p, model.nodes(spark, sf_dir))
 
@@ -357,9 +357,9 @@ def jn18_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coupling.nearest(e.where("event = 'ask'"), e.where("event = 'consume'"), 6 * 3600 * 1_000_000)
 
 
-@query("SELECT DISTINCT c.path, s.suffix FROM chunks c JOIN (SELECT 'd' || doc_id AS suffix FROM documents WHERE doc_id % 10 = 0) s ON c.path = s.suffix OR ends_with(c.path, '/' || s.suffix)", "chunks")
+@query("SELECT DISTINCT c.path, s.suffix FROM chunks c JOIN (SELECT DISTINCT 'd' || doc_id AS suffix FROM documents) s ON c.path = s.suffix OR ends_with(c.path, '/' || s.suffix)", "chunks")
 def jn17_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = model.read(spark, sf_dir, "documents").where("doc_id % 10 = 0").select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("suffix"))
+    s = model.read(spark, sf_dir, "documents").select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("suffix"))
     return coupling.suffix_join(model.chunks(spark, sf_dir), s)
 
 
@@ -388,10 +388,10 @@ def ag21_open_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _round(telemetry.open_rates(telemetry.opened_after(model.tool_events(spark, sf_dir))), "rate")
 
 
-@query("""+c AS (SELECT event_id, session, tool, count(*) OVER (PARTITION BY session, tool ORDER BY us RANGE BETWEEN 86399999999 PRECEDING AND CURRENT ROW) AS calls FROM tool_events)
-    SELECT *, CASE WHEN calls >= 6 THEN 'block' WHEN calls >= 4 THEN 'reduce' WHEN calls >= 2 THEN 'hint' ELSE 'ok' END AS level FROM c""", "tool_events")
+@query("""+c AS (SELECT event_id, session, tool, count(*) OVER (PARTITION BY session, tool, path ORDER BY us RANGE BETWEEN 299999999 PRECEDING AND CURRENT ROW) AS calls, sum(CASE WHEN event = 'ask' THEN 1 ELSE 0 END) OVER (PARTITION BY session ORDER BY us RANGE BETWEEN 299999999 PRECEDING AND CURRENT ROW)::BIGINT AS searches, event FROM tool_events)
+    SELECT event_id, session, calls, searches, CASE WHEN event = 'ask' AND searches >= 10 THEN 'block' WHEN calls >= 6 THEN 'block' WHEN calls >= 4 THEN 'reduce' WHEN calls >= 2 THEN 'hint' ELSE 'normal' END AS level FROM c""", "tool_events")
 def sm04_throttle(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return telemetry.throttle(model.tool_events(spark, sf_dir), 86400)
+    return telemetry.throttle(model.tool_events(spark, sf_dir), F.col("event") == "ask")
 
 
 @query("""+u AS (SELECT event_id, session, sum(coalesce(value, 0)) OVER (PARTITION BY session ORDER BY us, event_id) AS used FROM tool_events)
@@ -438,12 +438,13 @@ def tx13_codebook_apply(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.coded(rows, lines.codebook(rows))
 
 
-_SPLIT = "list_filter(regexp_split_to_array(content, '\\s+'), lambda x: x <> '')"
-
-
-@query(f"+w AS (SELECT {_SPLIT} AS w FROM chunks), g AS (SELECT array_to_string(w[i:i + 2], ' ') AS gram FROM (SELECT w, unnest(generate_series(1, len(w) - 2)) AS i FROM w WHERE len(w) >= 3)), c AS (SELECT gram, count(*) AS count FROM g GROUP BY 1 HAVING count(*) >= 2) SELECT gram, count, CAST((count - 1) * length(gram) - 2 * count AS BIGINT) AS net FROM c WHERE (count - 1) * length(gram) - 2 * count > 0 ORDER BY net DESC, gram LIMIT 20", "chunks")
+@query(f"""+{_LINES}, w AS (SELECT id, list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '') AS w FROM lines), i3 AS (SELECT id, w, unnest(generate_series(1, len(w) - 2)) AS i FROM w WHERE len(w) >= 3), i2 AS (SELECT id, w, unnest(generate_series(1, len(w) - 1)) AS i FROM w WHERE len(w) >= 2),
+    c3 AS (SELECT id, w[i] AS a, w[i + 1] AS b, w[i + 2] AS c, count(*) AS n FROM i3 GROUP BY ALL), c2 AS (SELECT id, w[i] AS a, w[i + 1] AS b, count(*) AS n FROM i2 GROUP BY ALL),
+    t3 AS (SELECT *, ceil(length(a || ' ' || b || ' ' || c) / 3.5) AS t FROM c3), t2 AS (SELECT *, ceil(length(a || ' ' || b) / 3.5) AS t FROM c2), g3 AS (SELECT * FROM t3 WHERE t > 1 AND n * (t - 1) - (t + 4) > 0),
+    v AS (SELECT id, a, b FROM g3 UNION SELECT id, b, c FROM g3), g AS (SELECT id, a || ' ' || b || ' ' || c AS gram, n, CAST(n * (t - 1) - (t + 4) AS BIGINT) AS net FROM g3 UNION ALL SELECT id, a || ' ' || b, n, CAST(n * (t - 1) - (t + 4) AS BIGINT) FROM t2 WHERE t > 1 AND n * (t - 1) - (t + 4) > 0 AND (id, a, b) NOT IN (SELECT (id, a, b) FROM v)),
+    r AS (SELECT *, count(*) OVER (PARTITION BY id) AS m, row_number() OVER (PARTITION BY id ORDER BY net DESC, gram) AS place FROM g) SELECT id, gram, n, net FROM r WHERE m >= 2 AND place <= 20""", "chunks")
 def tx14_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lines.ngrams(model.chunks(spark, sf_dir))
+    return lines.ngram_codebook(lines.lines(model.chunks(spark, sf_dir)))
 
 
 @query("+w AS (SELECT id, unnest(list_filter(regexp_split_to_array(lower(content), '\\s+'), lambda x: x <> '')) AS word FROM chunks), c AS (SELECT id, word, count(*) AS c, sum(count(*)) OVER (PARTITION BY id) AS n FROM w GROUP BY 1, 2) SELECT id, max(n)::BIGINT AS n, round(count(*) / max(n), 6) AS share, round(CASE WHEN count(*) > 1 THEN -sum(c / n * log2(c / n)) / log2(count(*)) ELSE 0 END, 6) AS entropy FROM c GROUP BY id", "chunks")
@@ -456,22 +457,23 @@ def fn25_normalise_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return model.read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), tx.normalise_log(F.col("text")).alias("text"))
 
 
-_TOKENS = "|".join(f"(?:{x})" for x in tx.SECRETS)
+_SECRET = "AKIA[0-9A-Z]{16}|ASIA[0-9A-Z]{16}|-----BEGIN [A-Z ]*PRIVATE KEY-----|ghp_[A-Za-z0-9]{36}|github_pat_[A-Za-z0-9_]{82}|xox[baprs]-[A-Za-z0-9-]{10,}|\\bsk-(?:proj-)?[A-Za-z0-9_-]{20,}|AIza[0-9A-Za-z_-]{35}|sk_live_[0-9a-zA-Z]{24,}|rk_live_[0-9a-zA-Z]{24,}|glpat-[A-Za-z0-9_-]{20,}|SG\\.[A-Za-z0-9_-]{22,}\\.[A-Za-z0-9_-]+".replace("\\\\", "\\")
 
 
-@query(f"SELECT doc_id AS id, regexp_replace(text, '{_TOKENS}', '***', 'g') AS text FROM documents")
+@query(f"SELECT doc_id AS id, regexp_replace(text, '{_SECRET}', '***', 'g') AS text FROM documents")
 def fn26_redact_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return model.read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), tx.redact_tokens(F.col("text")).alias("text"))
 
 
-_REDACT = "regexp_replace(regexp_replace(regexp_replace(text, '(://)[^\\s/@:]+:[^\\s/@]+@', '\\1***@', 'g'), '(?i)\\b((?:[a-z0-9]+_)*(?:" + tx.SECRET_NAMES + "))(\\s*[:=]\\s*)(\"[^\"]*\"|''[^'']*''|[^\\s,;]+)', '\\1\\2***', 'g'), '" + _TOKENS + "', '***', 'g')"
-
-
-@query(f"SELECT doc_id AS id, {_REDACT} AS text FROM documents UNION ALL SELECT conv_id * 1000 + turn, {_REDACT} FROM conversations")
+@query(rf"""WITH t AS (SELECT doc_id AS id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents UNION ALL SELECT -1 - conv_id * 1000 - turn, string_split(coalesce(text, ''), chr(10)) FROM conversations), l AS (SELECT id, generate_subscripts(l, 1) AS line, unnest(l) AS text FROM t),
+    u AS (SELECT id, line, regexp_replace(text, '([a-zA-Z][a-zA-Z0-9+.\-]*://[^:/?#\s]*:)[^@/?#\s]+(@)', '\1***\2', 'g') AS text FROM l), k AS (SELECT *, regexp_extract(text, '^(\s*(?:[-|]\s*)?[A-Za-z0-9_.\-]+)(\s*[:=]\s*)(.+?)\s*$', 1) AS key, regexp_extract(text, '^(\s*(?:[-|]\s*)?[A-Za-z0-9_.\-]+)(\s*[:=]\s*)(.+?)\s*$', 2) AS sep FROM u),
+    r AS (SELECT id, line, CASE WHEN key <> '' AND regexp_matches(upper(key), 'KEY|SECRET|TOKEN|PASSWORD|PASSWD|PASSPHRASE|CREDENTIALS|AUTH|API_KEY|PRIVATE|CERT|DSN|CONNECTION|SALT|SESSION|PEM|SIGNING|ENCRYPTION') THEN key || sep || '***' ELSE regexp_replace(text, '{_SECRET}', '***', 'g') END AS text FROM k)
+    SELECT id, sha1(string_agg(text, chr(10) ORDER BY line)) AS hash, count(*) FILTER (contains(text, '***')) AS hidden FROM r GROUP BY id""")
 def fn27_redact_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = model.read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
-    c = model.read(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "text")
-    return d.unionByName(c).select("id", tx.redact_line(F.col("text")).alias("text"))
+    c = model.read(spark, sf_dir, "conversations").select((-1 - F.col("conv_id") * 1000 - F.col("turn")).alias("id"), "text")
+    t = d.unionByName(c).select("id", F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), tx.redact_line).alias("l"))
+    return t.select("id", F.sha1(F.array_join("l", "\n")).alias("hash"), F.size(F.filter("l", lambda x: F.contains(x, F.lit("***")))).cast("long").alias("hidden"))
 
 
 @query("""WITH t AS (SELECT conv_id, turn, list_distinct(list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda x: x <> '')) AS w FROM conversations)
@@ -559,7 +561,7 @@ def sc52_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("SELECT page_id, unnest(regexp_extract_all(html, 'href=\"([^\"]*)\"', 1)) AS target FROM pages")
-def gr18_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
+def sc30_page_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ingest.hrefs(model.read(spark, sf_dir, "pages"))
 
 
@@ -593,14 +595,36 @@ def ql_pipe_impact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return surface.pipe(surface.Graph(n, e, n.select("id", F.lit(0.0).alias("rank"))), "pkg:Brand#1* | impact:2")
 
 
-@query("""SELECT conv_id, turn, CASE WHEN regexp_matches(lower(text), '\\b(review|diff|pull request)\\b') THEN 'review' WHEN regexp_matches(lower(text), '\\b(overview|orient|getting started)\\b') THEN 'orient'
-    WHEN regexp_matches(lower(text), '\\b(who calls|callers?|used by|usages?)\\b') THEN 'callers' WHEN regexp_matches(lower(text), '\\b(calls what|callees?)\\b') THEN 'callees' WHEN regexp_matches(lower(text), '\\b(packages?|modules?|depend)') THEN 'packages'
-    WHEN regexp_matches(lower(text), '\\b(architecture|design|layers?|structure)\\b') THEN 'architecture' WHEN regexp_matches(lower(text), '\\b(change|edit|rename|refactor)\\b') THEN 'editing'
-    WHEN len(list_filter(regexp_split_to_array(trim(text), '\\s+'), lambda x: x <> '')) <= 3 THEN 'symbol' ELSE 'behavior' END AS intent FROM conversations""")
+_REPO = "(repo|repository|codebase|code ?base|project)"
+#: Each conversation's turn, and each pattern's questions about symbols.
+_QUESTIONS = "q AS (SELECT conv_id * 1000 + turn AS id, text FROM conversations UNION ALL SELECT -1 - id, CASE id % 12 WHEN 0 THEN 'review my changes to ' || name WHEN 1 THEN 'how is this repo organized' WHEN 2 THEN 'who calls ' || name WHEN 3 THEN 'what does ' || name || ' call' WHEN 4 THEN 'which packages import ' || package WHEN 5 THEN 'the ' || name || ' package' WHEN 6 THEN 'how does ' || name || ' work' WHEN 7 THEN 'rename ' || name || ' everywhere please' WHEN 8 THEN qualified WHEN 9 THEN 'where is ' || name || ' used' WHEN 10 THEN 'when ' || name || ' changes, what happens then' ELSE name END FROM symbols)"
+
+
+@query(rf"""+{_QUESTIONS} SELECT id, CASE WHEN regexp_matches(lower(text), '^\s*(please\s+|can you\s+|could you\s+)?(code\s+)?review\b|\breview (my|the|this|these|your) (changes?|diffs?|prs?|pull requests?|patch|work|commits?|branch|edits?|changeset)\b') THEN 'review'
+    WHEN regexp_matches(lower(text), '\b(orient me|get me oriented|help me get oriented|where (do|should) i start|(understand|navigate|explore|tour|walk me through|walk through|explain|describe|give me (an? )?(overview|tour) of) (this|the|our) {_REPO}|(overview|tour|structure|layout|shape|high[- ]level (overview|view)) of (this|the|our) {_REPO}|(what is|what''s|what does) (this|the) {_REPO}( do| contain| look like)?|how (is|are) (this|the|our) {_REPO} (structured|organized|organised|laid out|set up|put together))\b') THEN 'orient'
+    WHEN regexp_matches(lower(text), '\b(callers?|who calls|what calls|called by|usage of|usages of|references? to|where is .* used|where is .* called)\b') THEN 'callers' WHEN regexp_matches(lower(text), '\b(callees?|what does .* call|calls from|outgoing calls|dependencies of)\b') THEN 'callees'
+    WHEN regexp_matches(lower(text), '\b(packages|modules?|topology|dependency graph|import graph|package layout)\b') THEN 'packages' WHEN regexp_matches(lower(text), '\b(architecture|how does .* work|overview|big picture|design of|walk me through|how is .* organized)\b') THEN 'architecture'
+    WHEN regexp_matches(lower(text), '\b(edit|modify|refactor|rename|extend|fix|patch|implement|add)\b') THEN 'editing'
+    WHEN len(list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '')) BETWEEN 1 AND 3 AND (regexp_matches(text, '\(\*?[A-Z][A-Za-z0-9_]*\)\.[A-Za-z_]|\b[A-Z][A-Za-z0-9_]*\.[A-Za-z_]|\b[A-Z][A-Za-z0-9_]{{2,}}\b|\b[a-z][a-z0-9]*[A-Z][A-Za-z0-9_]*\b|\b[a-z][a-z0-9_]*_[a-z0-9_]+\b') OR regexp_matches(trim(text), '^[A-Za-z0-9_]{{3,32}}$')) THEN 'symbol' ELSE 'behavior' END AS intent FROM q""", "edges", "symbols")
 def pf33_intent(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return model.read(spark, sf_dir, "conversations").select("conv_id", "turn", surface.intent(F.col("text")).alias("intent"))
+    return _questions(spark, sf_dir).select("id", surface.intent(F.col("text")).alias("intent"))
+
+
+def _questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = model.read(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "text")
+    kinds = (
+        ("review my changes to ", "name", ""), ("how is this repo organized", None, ""), ("who calls ", "name", ""), ("what does ", "name", " call"), ("which packages import ", "package", ""), ("the ", "name", " package"),
+        ("how does ", "name", " work"), ("rename ", "name", " everywhere please"), ("", "qualified", ""), ("where is ", "name", " used"), ("when ", "name", " changes, what happens then"), ("", "name", ""),
+    )
+    text = F.element_at(F.array(*(F.concat(F.lit(a), F.col(m) if m else F.lit(""), F.lit(b)) for a, m, b in kinds)), (F.col("id") % 12 + 1).cast("int"))
+    return c.unionByName(model.symbols(spark, sf_dir).select((-1 - F.col("id")).alias("id"), text.alias("text")))
 
 
 @query("+c AS (SELECT path, count(*) AS n FROM chunks GROUP BY path) SELECT count(*) AS files, sum(n)::BIGINT AS chunks, (SELECT count(DISTINCT dir) FROM chunks) AS dirs FROM c", "chunks")
 def ag07_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return model.chunks(spark, sf_dir).agg(F.count_distinct("path").alias("files"), F.count("*").alias("chunks"), F.count_distinct("dir").alias("dirs"))
+
+
+from . import queries_relations, queries_text  # noqa: E402, F401  they register theirs
+
+__all__ = ["ORACLE", "QUERIES"]

@@ -150,3 +150,28 @@ def unified_diff(diffs: DataFrame) -> DataFrame:
 def directory_hashes(hashes: DataFrame) -> DataFrame:
     """dir and hash: of each directory the digest of its sorted child hashes (dir, sha), whatever their order."""
     return hashes.groupBy("dir").agg(F.sha2(F.array_join(F.sort_array(F.collect_list("sha")), "\n"), 256).alias("hash"))
+
+
+def _stem(path: Column) -> Column:
+    return F.lower(F.regexp_replace(F.regexp_extract(path, r"([^/]*)$", 1), r"\.[^.]*$", ""))
+
+
+def wikilink_targets(notes: DataFrame, files: DataFrame) -> DataFrame:
+    """note, path and ambiguous: the only file of the note's base name, in any case; several are ambiguous."""
+    f = files.select("path").distinct().groupBy(_stem(F.col("path")).alias("stem")).agg(F.min("path").alias("only"), F.count("*").alias("n"))
+    j = notes.select("note").distinct().join(f, F.lower("note") == F.col("stem"), "left")
+    return j.select("note", F.when(F.col("n") == 1, F.col("only")).alias("path"), (F.coalesce("n", F.lit(0)) > 1).alias("ambiguous"))
+
+
+#: How the names of tests are told from those of code.
+TEST_MARK = r"(_test|_spec)\.|\.(test|spec)\.|^test_"
+
+
+def sibling_tests(files: DataFrame) -> DataFrame:
+    """(path, test): files and the tests of the same name beside them."""
+    f = files.select("path").distinct().select("path", F.regexp_replace("path", r"/[^/]*$", "").alias("dir"), F.regexp_extract("path", r"([^/]*)$", 1).alias("base"))
+    stem = F.regexp_extract("base", r"^([^.]*)", 1)
+    bare = F.regexp_replace(F.regexp_replace(stem, "^test_", ""), "(_test|_spec)$", "")
+    code = f.where(~F.col("base").rlike(TEST_MARK)).select("path", "dir", stem.alias("stem"))
+    tests = f.where(F.col("base").rlike(TEST_MARK)).select(F.col("path").alias("test"), "dir", bare.alias("stem"))
+    return code.join(tests, ["dir", "stem"]).select("path", "test")
