@@ -10,25 +10,33 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
-def throttled(events: DataFrame, seconds: int = 300, hint: int = 2, reduce: int = 4, block: int = 6) -> DataFrame:
-    """event_id, session, tool, calls and level of a stream of events (session, tool, us, event_id): the rolling count of
-    each session's calls of a tool. State holds the times within the window only, and ends when they have passed."""
+def _timeout(expire: bool) -> str:
+    """State that expires needs a query that runs on; a replay of what there is ends only without."""
+    return GroupStateTimeout.ProcessingTimeTimeout if expire else GroupStateTimeout.NoTimeout
+
+
+def throttled(events: DataFrame, seconds: int = 300, hint: int = 2, reduce: int = 4, block: int = 6, group: int = 10, expire: bool = True) -> DataFrame:
+    """event_id, session, calls, searches and level of a stream of events (session, tool, path, us, event_id, search), as
+    telemetry.throttle() has them. State holds a session's calls within the window only, and ends when they have passed."""
 
     def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
-        held = list(state.get[0]) if state.exists else []
+        held = list(zip(*state.get, strict=True)) if state.exists else []
         rows = []
         for r in pd.concat(list(parts)).sort_values(["us", "event_id"]).itertuples(index=False):
-            held = [t for t in held if t > r.us - seconds * 1_000_000] + [r.us]
-            n = len(held)
-            rows.append((r.event_id, key[0], key[1], n, "block" if n >= block else "reduce" if n >= reduce else "hint" if n >= hint else "ok"))
-        state.update((held,))
-        state.setTimeoutDuration(seconds * 1000)
-        yield pd.DataFrame(rows, columns=["event_id", "session", "tool", "calls", "level"])
+            call = f"{r.tool}\0{r.path}"
+            held = [h for h in held if h[1] > r.us - seconds * 1_000_000] + [(call, r.us, bool(r.search))]
+            n, searches = sum(h[0] == call for h in held), sum(h[2] for h in held)
+            level = "block" if r.search and searches >= group or n >= block else "reduce" if n >= reduce else "hint" if n >= hint else "normal"
+            rows.append((r.event_id, key[0], n, searches, level))
+        state.update(tuple(map(list, zip(*held, strict=True))))
+        if expire:
+            state.setTimeoutDuration(seconds * 1000)
+        yield pd.DataFrame(rows, columns=["event_id", "session", "calls", "searches", "level"])
 
-    return events.groupBy("session", "tool").applyInPandasWithState(step, "event_id long, session long, tool string, calls long, level string", "times array<long>", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return events.groupBy("session").applyInPandasWithState(step, "event_id long, session long, calls long, searches long, level string", "calls array<string>, times array<long>, search array<boolean>", "append", _timeout(expire))
 
 
 def counted(events: DataFrame, window: str = "1 hour", late: str = "10 minutes") -> DataFrame:
@@ -43,7 +51,7 @@ def session_gaps(events: DataFrame, gap: str = "30 minutes", late: str = "10 min
     return e.groupBy(F.session_window("ts", gap).alias("w"), "session").agg(F.count("*").alias("n")).select("session", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
 
 
-def debounced(changes: DataFrame, quiet_ms: int = 500, most_ms: int = 5000) -> DataFrame:
+def debounced(changes: DataFrame, quiet_ms: int = 500, most_ms: int = 5000, expire: bool = True) -> DataFrame:
     """key, first and last change and number of changes (key, us) of each burst: a burst ends after a quiet time, or at the
     greatest delay from its start."""
 
@@ -60,10 +68,11 @@ def debounced(changes: DataFrame, quiet_ms: int = 500, most_ms: int = 5000) -> D
                 first, n = None, 0
             first, last, n = us if not n else first, us, n + 1
         state.update((first, last, n))
-        state.setTimeoutDuration(quiet_ms)
+        if expire:
+            state.setTimeoutDuration(quiet_ms)
         yield pd.DataFrame(rows, columns=["key", "first", "last", "n"])
 
-    return changes.groupBy("key").applyInPandasWithState(step, "key string, first long, last long, n long", "first long, last long, n long", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return changes.groupBy("key").applyInPandasWithState(step, "key string, first long, last long, n long", "first long, last long, n long", "append", _timeout(expire))
 
 
 def upsert_each(stream: DataFrame, apply, checkpoint: str):

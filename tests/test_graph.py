@@ -87,6 +87,11 @@ def test_layers(spark):
     assert {r.id: r.layer for r in graph.layers(n, e).collect()} == {1: 0, 2: 1, 3: 2}
 
 
+def test_layers_have_no_bound(spark):
+    n, e = made(spark, [(i + 1, i) for i in range(55)])
+    assert {r.id: r.layer for r in graph.layers(n, e).collect()} == {i: i for i in range(56)}
+
+
 def test_pagerank_sums_to_one(spark):
     n, e = made(spark, random_edges(5), 14)
     assert sum(r["rank"] for r in graph.pagerank(n, e).collect()) == pytest.approx(1)

@@ -2,17 +2,13 @@
 
 from __future__ import annotations
 
-import os
-
-import pytest
+from pyspark.sql import functions as F
 
 from quillon import model
 from quillon.operators import telemetry
 from quillon.streaming import streams
 
 DATA = "/root/testdata/sf0.001"
-#: These have not been seen to end in time yet, so they run on request only.
-pytestmark = pytest.mark.skipif(not os.environ.get("QUILLON_STREAMS"), reason="set QUILLON_STREAMS to run the streams")
 
 
 def replayed(spark, df, path):
@@ -31,16 +27,23 @@ def collected(stream, name):
 
 
 def test_throttle(spark, tmp_path):
-    e = model.tool_events(spark, DATA)
+    # A day is half a minute, so that all levels occur.
+    e = model.tool_events(spark, DATA).withColumn("us", F.floor(F.col("us") / 3000)).withColumn("path", F.lit("p")).withColumn("search", F.col("event") == "ask")
     s = replayed(spark, e, str(tmp_path / "e"))
-    got = collected(streams.throttled(s, 86400), "throttled")
-    want = telemetry.throttle(e, 86400).collect()
-    # Events of one microsecond are counted together in the batch; none are here.
-    assert {(r.event_id, r.calls, r.level) for r in got} == {(r.event_id, r.calls, r.level) for r in want}
+    got = {tuple(r) for r in collected(streams.throttled(s, expire=False), "throttled")}
+    want = {(r.event_id, r.session, r.calls, r.searches, r.level) for r in telemetry.throttle(e, F.col("search")).collect()}
+    assert {x[4] for x in want} == {"normal", "hint", "reduce", "block"}
+    assert got == want
 
 
 def test_debounce(spark, tmp_path):
     rows = [("a", 0), ("a", 100_000), ("a", 2_000_000), ("b", 0)]
     s = replayed(spark, spark.createDataFrame(rows, "key string, us long"), str(tmp_path / "c"))
-    got = collected(streams.debounced(s), "debounced")
-    assert ("a", 0, 100_000, 2) in {tuple(r) for r in got}
+    got = collected(streams.debounced(s, expire=False), "debounced")
+    assert {tuple(r) for r in got} == {("a", 0, 100_000, 2)}
+
+
+def test_windowed_counts(spark, tmp_path):
+    e = spark.createDataFrame([(i * 60, "t", 1.0) for i in range(180)], "s long, tool string, value double").select(F.timestamp_seconds("s").alias("ts"), "tool", "value")
+    got = collected(streams.counted(replayed(spark, e, str(tmp_path / "w"))), "counted")
+    assert sorted((r.calls, r.value) for r in got) in ([(60, 60.0)] * 2, [(60, 60.0)] * 3)
