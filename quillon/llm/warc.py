@@ -2,8 +2,10 @@
 
 Pages are written as WARC/1.1 records, each a gzip member of its own, to archive files; every capture has an index line
 of its reversed-host URL key, page_id and place. Index lines, dealt by ranges of key and sorted, form compressed blocks;
-a sparse directory holds the first key and the place of each block. A lookup takes a binary search in the directory, one
-range read of a block, a binary search in it, and one range read of the record.
+each index file ends with its part of the sparse directory, the first key and the place of each block, and only the first
+key of each file is held in memory. A lookup takes a binary search for the file, one range read of its directory, a binary
+search in that, one range read of a block, a binary search in it, and one range read of the record. read_archives() looks
+up all keys in that way.
 
 Of records with equal payloads of at least REVISIT bytes the one with the largest page_id is the response and the others
 are revisits without payload; smaller ones are responses.
@@ -29,7 +31,7 @@ from pyspark.sql import functions as F
 from . import files
 from .common import shared_dir
 
-REVISIT, BLOCK_LINES, ARCHIVE_BYTES = 1000, 512, 1 << 27
+REVISIT, BLOCK_LINES, ARCHIVE_BYTES, SALTS, HELD_BLOCKS = 1000, 512, 1 << 27, 32, 4
 #: Fixed values of the WARC standard.
 VERSION, REVISIT_PROFILE = "WARC/1.1", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "2024-01-01T00:00:00Z"
@@ -52,16 +54,17 @@ def payload(html: Column) -> Column:
 def with_types(pages: DataFrame, least: int = REVISIT) -> DataFrame:
     """page_id, url, html, payload_bytes, payload_digest, refers_to (the response's page_id for a revisit).
 
-    The response of each large payload comes from an aggregate by digest, so that equal payloads, however many, never
-    meet in one task.
+    The response of each large payload comes from an aggregate by digest. It is copied SALTS times, so that equal payloads,
+    however many, are dealt to as many tasks in the join.
     """
     p = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"))
     p = p.withColumn("payload_bytes", F.octet_length("html").cast("long")).withColumn("payload_digest", F.sha1(payload(F.col("html"))))
     d = p.select("page_id", "payload_digest", "payload_bytes").where(F.col("payload_bytes") >= least)
     last = d.groupBy("payload_digest").agg(F.max("page_id").alias("_last"), F.count("*").alias("_n")).where("_n > 1")
-    last = last.select(F.col("payload_digest").alias("_digest"), "_last")
-    p = p.join(last, F.col("payload_digest") == F.col("_digest"), "left")
-    return p.withColumn("refers_to", F.when((F.col("_last") != F.coalesce("page_id", F.col("_last") - 1)), F.col("_last"))).drop("_digest", "_last")
+    last = last.select(F.col("payload_digest").alias("_digest"), "_last", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"))
+    salt = F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS))
+    p = p.withColumn("_own", salt).join(last, (F.col("payload_digest") == F.col("_digest")) & (F.col("_own") == F.col("_salt")), "left")
+    return p.withColumn("refers_to", F.when((F.col("_last") != F.coalesce("page_id", F.col("_last") - 1)), F.col("_last"))).drop("_digest", "_last", "_salt", "_own")
 
 
 def record(page_id: int | None, url: str | None, data: bytes, digest: str, refers_to: int | None) -> bytes:
@@ -128,14 +131,15 @@ def write_archives(pages: DataFrame, folder: str) -> DataFrame:
 
 
 def write_index(lines: DataFrame, folder: str) -> DataFrame:
-    """The two-level index: files of compressed blocks, and the directory (first_key, path, begin, length, n), a table."""
+    """The two-level index: files of compressed blocks, each with its directory at the end. Returns a row for each file:
+    first_key, path, begin and length of its directory, and n (captures), a table."""
 
     def write(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        uri, out, held, rows = files.fresh(folder, "index"), None, [], []
+        uri, out, held, directory, n = files.fresh(folder, "index"), None, [], [], 0
 
         def block() -> None:
             data = zlib.compress("\n".join(held).encode(), 6)
-            rows.append((json.loads(held[0])[0], uri, out.write(data), len(data), len(held)))
+            directory.append([json.loads(held[0])[0], out.write(data), len(data)])
             held.clear()
 
         try:
@@ -143,10 +147,15 @@ def write_index(lines: DataFrame, folder: str) -> DataFrame:
                 for r in d.itertuples(index=False):
                     out = out or files.Writer(uri)
                     held.append(json.dumps([r.key, None if pd.isna(r.page_id) else int(r.page_id), r.path, int(r.begin), int(r.length)], ensure_ascii=False))
+                    n += 1
                     if len(held) == BLOCK_LINES:
                         block()
             if held:
                 block()
+            rows = []
+            if directory:
+                data = zlib.compress(json.dumps(directory, ensure_ascii=False).encode(), 6)
+                rows.append((directory[0][0], uri, out.write(data), len(data), n))
         finally:
             if out:
                 out.close()
@@ -159,45 +168,72 @@ def write_index(lines: DataFrame, folder: str) -> DataFrame:
     return lines.sparkSession.read.schema(directory.schema).parquet(f"{folder}/directory")
 
 
-def block_lines(path: str, begin: int, length: int) -> list[list]:
+def _packed(path: str, begin: int, length: int) -> str:
     f = files.Reader(path)
     try:
-        return [json.loads(x) for x in zlib.decompress(f.read(begin, length)).decode().split("\n")]
+        return zlib.decompress(f.read(begin, length)).decode()
     finally:
         f.close()
 
 
 class Index:
-    """Lookups by URL. Only the directory, one line for BLOCK_LINES captures, is held in memory."""
+    """Lookups by key. What is held in memory is a line for each index file, which are as many as the partitions that wrote
+    them, and the last directories and blocks read."""
 
-    def __init__(self, directory: DataFrame):
-        self.rows = [tuple(r) for r in directory.orderBy("first_key", "path", "begin").collect()]
+    def __init__(self, files_of: list[tuple]):
+        self.rows = sorted(files_of)
         self.keys = [r[0] for r in self.rows]
-
-    def captures(self, url: str) -> list[tuple[int | None, bytes]]:
-        """page_id and payload of the captures of a URL (b"" for a revisit's own payload)."""
-        key, out = url_key(url), []
+        self.held: dict[tuple, list] = {}
+
+    @staticmethod
+    def of(directory: DataFrame) -> Index:
+        return Index([tuple(r) for r in directory.select("first_key", "path", "begin", "length").collect()])
+
+    def _read(self, path: str, begin: int, length: int, many: bool) -> list:
+        if (path, begin) not in self.held:
+            while len(self.held) >= HELD_BLOCKS:
+                del self.held[next(iter(self.held))]
+            text = _packed(path, begin, length)
+            self.held[path, begin] = [json.loads(x) for x in text.split("\n")] if many else json.loads(text)
+        return self.held[path, begin]
+
+    def lines(self, key: str) -> Iterator[list]:
+        """The index lines of a key, in order: key, page_id, path, begin, length."""
         at = max(0, bisect.bisect_left(self.keys, key) - 1)
         while at < len(self.rows) and self.keys[at] <= key:
-            lines = block_lines(*self.rows[at][1:4])
-            for line in lines[bisect.bisect_left(lines, [key], key=lambda x: x[:1]) :]:
-                if line[0] != key:
-                    break
-                f = files.Reader(line[2])
-                out.append((line[1], parsed(f.read(line[3], line[4]))["payload"]))
-                f.close()
+            _, path, *place = self.rows[at]
+            blocks = self._read(path, *place, many=False)
+            b = max(0, bisect.bisect_left(blocks, key, key=lambda x: x[0]) - 1)
+            while b < len(blocks) and blocks[b][0] <= key:
+                rows = self._read(path, *blocks[b][1:], many=True)
+                i = bisect.bisect_left(rows, key, key=lambda x: x[0])
+                while i < len(rows) and rows[i][0] == key:
+                    yield rows[i]
+                    i += 1
+                b += 1
             at += 1
+
+    def captures(self, url: str) -> list[tuple[int | None, bytes]]:
+        """page_id and payload of the captures of a URL (b"" for a revisit's own payload)."""
+        out = []
+        for _, page_id, path, begin, length in self.lines(url_key(url)):
+            f = files.Reader(path)
+            out.append((page_id, parsed(f.read(begin, length))["payload"]))
+            f.close()
         return out
 
 
-def read_archives(directory: DataFrame) -> DataFrame:
-    """Reads every capture through the index: blocks are spread over tasks, and each task range-reads its records.
-    Returns page_id, payload_bytes, payload_digest, record_type and refers_to as the records have them."""
+def read_archives(directory: DataFrame, keys: DataFrame) -> DataFrame:
+    """Reads the captures of all keys (key) through the index: keys are sorted, each is looked up by binary searches, and
+    each task range-reads its records. Returns page_id, payload_bytes, payload_digest, record_type and refers_to as the
+    records have them."""
+    shared = directory.sparkSession.sparkContext.broadcast(Index.of(directory).rows)
 
     def lines(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        index = Index(shared.value)
         for d in parts:
-            for r in d.itertuples(index=False):
-                yield pd.DataFrame(block_lines(r.path, r.begin, r.length), columns=["key", "page_id", "path", "begin", "length"])[["path", "begin", "length"]]
+            rows = [x[2:] for key in d.key for x in index.lines(key)]
+            yield pd.DataFrame(rows, columns=["path", "begin", "length"])
 
     def read(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held, f = "", None
@@ -220,15 +256,16 @@ def read_archives(directory: DataFrame) -> DataFrame:
         if f:
             f.close()
 
-    n = directory.sparkSession.sparkContext.defaultParallelism
-    blocks = directory.repartition(max(n, min(10_000, directory.count())), "path", "begin").mapInPandas(lines, "path string, begin long, length long")
+    asked = keys.select("key").distinct().repartitionByRange("key").sortWithinPartitions("key")
+    found = asked.mapInPandas(lines, "path string, begin long, length long")
     # Records of one stretch of an archive are read together and in order.
     stretch = F.floor(F.col("begin") / (1 << 22))
-    records = blocks.repartition("path", stretch).sortWithinPartitions("path", "begin")
+    records = found.repartition("path", stretch).sortWithinPartitions("path", "begin")
     return records.mapInPandas(read, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
 
 
 def archived(pages: DataFrame) -> DataFrame:
-    """Writes the archives and the index of all pages and reads everything back."""
+    """Writes the archives and the index of all pages and looks every page's key up again."""
     folder = shared_dir(pages.sparkSession, "warc")
-    return read_archives(write_index(write_archives(pages, folder), folder))
+    lines = write_archives(pages, folder)
+    return read_archives(write_index(lines, folder), lines.select("key"))
