@@ -82,6 +82,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = 10, k: int =
 
 
 def clean_documents(docs: DataFrame, items: DataFrame, window: int = 10, k: int = 5) -> DataFrame:
-    """The documents that hit no item, with the columns of docs."""
+    """The documents that hit no item, with the columns of docs, whatever their names. Rows that share a doc_id, null as
+    well, go together."""
     _, found = hits(docs, items, window, k)
-    return docs.join(found.select(F.col("key").alias("_key")).distinct(), F.col("doc_id").eqNullSafe(F.col("_key")), "left_anti")
+    return docs.alias("d").join(found.select("key").distinct().alias("h"), F.col("d.doc_id").eqNullSafe(F.col("h.key")), "left_anti")

@@ -19,7 +19,7 @@ from .common import SPACES, bounded, written
 
 #: The fractional part of the golden ratio in units of 2 ** -60, as halves of 30 bits: doubles are too coarse for billions of slots.
 GOLDEN, HALF = 0x9E3779B97F4A7C1, 30
-BROADCAST_ROWS = 100_000
+BROADCAST_ROWS, BUCKET_ROWS = 100_000, 1000
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -39,7 +39,7 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most:
     by_cap = all_rows.orderBy("ratio", F.col("source").asc_nulls_last())
     upto = by_cap.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     weight = F.element_at(F.array(*map(F.lit, weights)), (F.pmod(F.row_number().over(by_name) - 1, F.lit(len(weights))) + 1).cast("int"))
-    s = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
+    s = sizes.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("rows"))
     s = s.withColumn("weight", weight.cast("double")).withColumn("cap", (F.lit(most) * F.col("source_size")).cast("double"))
     s = s.withColumn("ratio", F.col("cap") / F.col("weight"))
     s = s.withColumn("total", F.sum("source_size").over(all_rows)).withColumn("all_weight", F.sum("weight").over(all_rows))
@@ -54,7 +54,7 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most:
     share = F.when(F.col("total") > 0, F.col("target") / F.sum("target").over(all_rows)).otherwise(F.lit(0.0))
     s = s.withColumn("share", share)
     s = s.withColumn("high", F.sum("share").over(by_name.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    return s.select("source", "source_size", "target", "total", (F.col("high") - F.col("share")).alias("low"), "high")
+    return s.select("source", "source_size", "rows", "target", "total", (F.col("high") - F.col("share")).alias("low"), "high")
 
 
 def slots(targets: DataFrame, least_cells: int = 4096) -> DataFrame:
@@ -95,7 +95,8 @@ def schedule(targets: DataFrame, segment: int = 1024) -> DataFrame:
 
 
 def streamed(sizes: DataFrame, buckets: int = 4096, seed: int = 11) -> DataFrame:
-    """Adds begin: the words of the same source before the document, in hashed order (sums over buckets, then within one)."""
+    """Adds begin: the words of the same source before the document, in hashed order (sums over buckets, a power of 2 that
+    grows with the rows, then within one)."""
     d = sizes.withColumn("mixed", F.xxhash64("doc_id", F.lit(seed)))
     d = d.withColumn("bucket", F.shiftrightunsigned("mixed", 64 - (buckets.bit_length() - 1)))
     before = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -121,7 +122,8 @@ def _taken(sizes: DataFrame, weights: tuple[int, ...], most: int) -> DataFrame:
     t = targets.join(number, F.col("source").eqNullSafe(F.col("has")), "left")
     t = t.select(F.col("source").alias("of"), "source_size", "target", F.least(F.coalesce("n", F.lit(0)), F.col("source_size") * most).alias("n"))
     t = written(t, "targets")
-    d = streamed(sizes).join(F.broadcast(t) if bounded(t, BROADCAST_ROWS) else t, F.col("source").eqNullSafe(F.col("of")))
+    rows = targets.agg(F.max("rows")).first()[0] or 0
+    d = streamed(sizes, buckets=max(4096, 1 << (rows // BUCKET_ROWS).bit_length())).join(F.broadcast(t) if bounded(t, BROADCAST_ROWS) else t, F.col("source").eqNullSafe(F.col("of")))
     size = F.greatest("source_size", F.lit(1))
     rest = F.least(F.greatest(F.col("n") % size - F.col("begin"), F.lit(0)), F.col("size"))
     taken = F.col("size") * F.floor(F.col("n") / size) + rest
@@ -133,14 +135,19 @@ def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most:
     one with its first words for what is left. Documents not taken are absent. Rows are taken as
     they are, so doc_id may be null or repeated."""
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    d = _taken(docs.select("doc_id", "source", size.alias("size"), F.struct(*docs.columns).alias("row")), weights, most).where("taken > 0")
-    d = d.select("row.*", F.floor(F.col("taken") / F.col("size")).alias("_whole"), (F.col("taken") % F.col("size")).alias("_rest"))
-    whole, rest = F.col("_whole"), F.col("_rest")
-    d = d.withColumn("_copy", F.explode(F.sequence(F.lit(1), whole + F.when(rest > 0, 1).otherwise(0))))
-    pieces = F.split(F.regexp_replace("text", "^" + SPACES, ""), r"(?<=[\x20\x09-\x0D])(?=[^\x20\x09-\x0D])")
-    cut = F.col("_copy") > whole
-    text = F.when(cut, F.array_join(F.slice(pieces, F.lit(1), rest.cast("int")), "")).otherwise(F.col("text"))
-    d = d.withColumn("text", text)
-    if "n_chars" in docs.columns:
-        d = d.withColumn("n_chars", F.when(cut, F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return d.select(*docs.columns)
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns))  # apart from the names used here
+    d = _taken(docs.select("doc_id", "source", size.alias("size"), row.alias("row")), weights, most).where("taken > 0")
+    d = d.select("row", F.floor(F.col("taken") / F.col("size")).alias("whole"), (F.col("taken") % F.col("size")).alias("rest"))
+    whole, rest, text = F.col("whole"), F.col("rest"), F.col("row.text")
+    d = d.withColumn("copy", F.explode(F.sequence(F.lit(1), whole + F.when(rest > 0, 1).otherwise(0))))
+    pieces = F.split(F.regexp_replace(text, "^" + SPACES, ""), r"(?<=[\x20\x09-\x0D])(?=[^\x20\x09-\x0D])")
+    cut = F.col("copy") > whole
+    d = d.withColumn("cut", F.when(cut, F.array_join(F.slice(pieces, F.lit(1), rest.cast("int")), "")).otherwise(text))
+
+    def kept(c: str):
+        if c == "text":
+            return F.col("cut").alias(c)
+        own = F.col("row")[c]
+        return F.when(cut, F.length("cut").cast("long")).otherwise(own).alias(c) if c == "n_chars" else own.alias(c)
+
+    return d.select(*map(kept, docs.columns))
