@@ -5,6 +5,7 @@ from __future__ import annotations
 import gc
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,10 +23,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession, purpose: str) -> str:
     """A new folder name below spark.checkpoint.dir, which driver and executors share.
 
-    Only where that setting is absent (local tests) a temporary folder of this machine is set.
+    Only where that setting is absent and the master is local (tests) a temporary folder is set; a cluster without the
+    setting is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="quillon-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
@@ -40,13 +44,27 @@ def written(df: DataFrame, purpose: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Python workers get at most so many rows at once, so that long texts fit; a smaller setting stays."""
+def small_batches(spark: SparkSession, rows: int = 500) -> None:
+    """Python workers get at most so many rows at once, so that long texts fit; a smaller setting stays. The setting is the
+    session's: plans run after this function has returned."""
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(name, "10000")) <= rows:
         spark.conf.set(name, rows)
 
 
+_caches: dict[str, Callable[[], None]] = {}
+
+
+def only(owner: str, clear: Callable[[], None] | None = None) -> None:
+    """In a Python worker, which goes from one operator to the next: the caches of all operators but `owner` are emptied.
+    `clear` is how to empty this one's."""
+    for name, other in _caches.items():
+        if name != owner:
+            other()
+    if clear:
+        _caches[owner] = clear
+
+
 def released(spark: SparkSession) -> None:
     """Lets Spark's cleaner delete the shuffle files of jobs that are over: it does once the driver's garbage is collected."""
     gc.collect()

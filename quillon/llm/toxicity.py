@@ -24,11 +24,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from .common import small_batches
+from .common import only, small_batches
 
 BITS, FACTORS, SAMPLE, EPOCHS, RARE = 20, 4, 12_000, 8, 10
 WORD = re.compile(r"[^\W\d_]+")
-CACHE_WORDS = 150_000
+CACHE_WORDS = 100_000
 
 
 def terms(word: str) -> tuple[int, int, int]:
@@ -84,9 +84,12 @@ def fitted(texts_terms: list[np.ndarray], labels: np.ndarray, epochs: int = EPOC
     if not 0 < share < 1:
         return rows
     sizes = np.array([len(t) for t in texts_terms])
-    often = np.bincount(np.concatenate([np.unique(t) for t in texts_terms]).astype(np.int64), minlength=size) >= RARE
+    often = np.zeros(size, np.int32)
+    for t in texts_terms:
+        often[np.unique(t)] += 1
+    often = often >= RARE
     texts_terms = [t[often[t]] for t in texts_terms]  # rarer terms would only be learned by heart
-    rows[:-1, 1:] = rng.normal(0, 0.02, (size, FACTORS)) * often[:, None]
+    rows[np.flatnonzero(often), 1:] = rng.normal(0, 0.02, (int(often.sum()), FACTORS))
     squares = np.full(rows.shape, 1e-2, np.float32)
     for _ in range(epochs):
         order = rng.permutation(len(labels))
@@ -119,7 +122,7 @@ def labelled(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFr
     known = labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL").where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     known = known.orderBy(F.xxhash64("doc_id", F.lit(3)), "doc_id").limit(sample)
     known = known.select(F.col("doc_id").alias("_id"), F.col("toxic").alias("_toxic"))
-    return docs.join(F.broadcast(known), F.col("doc_id") == F.col("_id")).select("text", F.col("_toxic").alias("toxic"))
+    return docs.select("doc_id", "text").join(F.broadcast(known), F.col("doc_id") == F.col("_id")).select("text", F.col("_toxic").alias("toxic"))
 
 
 def held_out(doc_id: Column) -> Column:
@@ -153,6 +156,7 @@ def scores(text: Column, model: bytes, spark) -> Column:
 
     @pandas_udf("double")
     def score(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        only("toxicity", _held.clear)
         data = shared.value
         key = zlib.crc32(data)
         if key not in _held:

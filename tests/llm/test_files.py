@@ -63,20 +63,30 @@ def test_archives(spark):
     rows = [(i, f"http://h{i % 5}.example.com/p{i}?q", big if i % 4 == 0 else f"<p>{i}</p>" * 200 if i % 4 == 1 else "small") for i in range(40)] + [(100, None, None), (101, "http://h1.example.com/p1?q", "")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string")
     folder = shared_dir(spark, "w")
-    directory = warc.write_index(warc.write_archives(pages, folder), folder)
-    got = {r.page_id: r for r in warc.read_archives(directory).collect()}
+    lines = warc.write_archives(pages, folder)
+    directory = warc.write_index(lines, folder)
+    got = {r.page_id: r for r in warc.read_archives(directory, lines.select("key")).collect()}
     assert len(got) == len(rows)
     for i, _, html in rows:
         data = (html or "").encode()
         last = max(j for j, _, h in rows if (h or "") == (html or "")) if len(data) >= 1000 else i
         assert (got[i].payload_bytes, got[i].payload_digest) == (len(data), hashlib.sha1(data).hexdigest())
         assert (got[i].record_type, got[i].refers_to) == (("response", None) if last == i else ("revisit", last))
-    index = warc.Index(directory)
+    some = warc.read_archives(directory, spark.createDataFrame([(warc.url_key("http://h2.example.com/p2?q"),), ("none",)], "key string"))
+    assert [r.page_id for r in some.collect()] == [2]
+    index = warc.Index.of(directory)
     assert [p for p, _ in index.captures("http://h1.example.com/p1?q")] == [1, 101]
     assert index.captures("http://H1.example.com/p1?q")[0][1] == rows[1][2].encode() and index.captures("http://none.example/") == []
     assert warc.archived(spark.createDataFrame([], pages.schema)).count() == 0
 
 
+def test_lookups_across_blocks_and_files(spark, monkeypatch):
+    monkeypatch.setattr(warc, "BLOCK_LINES", 3)
+    rows = [(i, f"http://h{i % 3}.example.com/p{i % 7}", f"text {i}") for i in range(100)] + [(None, "http://h1.example.com/p1", "null"), (3, "http://h1.example.com/p1", "again")]
+    got = warc.archived(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert sorted((-1 if r.page_id is None else r.page_id, r.payload_digest) for r in got) == sorted((-1 if i is None else i, hashlib.sha1(h.encode()).hexdigest()) for i, _, h in rows)
+
+
 def test_keys():
     assert warc.url_key("http://www.Example.org:80/A?b") == "org,example,www:80)/A?b"
     assert warc.url_key("https://a.b") == "b,a)/" and warc.url_key(None) == ""

@@ -9,7 +9,7 @@ import zlib
 
 import pytest
 
-from quillon.llm import decontaminate, mixing, quality, toxicity, wrappers
+from quillon.llm import decontaminate, jaccard, mixing, quality, toxicity, wrappers
 
 WORDS = ["alpha", "Beta", "gamma", "été", "of", "x9", "delta", "to", "omega", "pi"]
 
@@ -193,8 +193,8 @@ def test_main_text_of_marked_pages():
         "<article><h1>Head &amp; line</h1><p>One  <b>bold</b>er&nbsp;word<br>next<p>Two &lt;3<form><input>Send</form><script>var x='</p>'</script><ul><li>a<li>b</ul><div class=comments><p>No</div></article>"
         "<aside>Side</aside><footer>Foot</footer></body></html>"
     )
-    assert wrappers.main_text(page, set()) == "Head & line One bolder word next Two <3 a b"
-    assert wrappers.main_text("", set()) == "" and wrappers.main_text("<p>cut <b>off", set()) == "cut off" and wrappers.main_text("a < b", set()) == "a < b"
+    assert wrappers.main_text(page) == "Head & line One bolder word next Two <3 a b"
+    assert wrappers.main_text("") == "" and wrappers.main_text("<p>cut <b>off") == "cut off" and wrappers.main_text("a < b") == "a < b"
 
 
 def test_constant_nodes_are_template(spark):
@@ -208,6 +208,72 @@ def test_constant_nodes_are_template(spark):
     assert wrappers.main_texts(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_content_is_found_without_marks(spark, monkeypatch):
+    """Nothing is named here: what varies and has most text is the content; without induction all would be kept."""
+    rng = random.Random(9)
+    texts = [prose(60, rng) for _ in range(10)]
+    rows = [(i, f"http://h/{i}", f"<body><div><div>Menu one</div><div class=x{i % 2}>Part {i}</div></div><div><div><p>{t[: len(t) // 2]}</p><b>Read on</b><p>{t[len(t) // 2 :]}</p></div><span>{prose(3, rng)}</span></div></body>") for i, t in enumerate(texts)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    want = {i: re.sub(r"\s+", " ", t[: len(t) // 2] + " " + t[len(t) // 2 :]).strip() for i, t in enumerate(texts)}
+    assert {r.page_id: r.text for r in wrappers.main_texts(pages).collect()} == want
+    assert all(wrappers.main_text(h) != want[i] for i, _, h in rows)
+    monkeypatch.setattr(wrappers, "BROADCAST_NODES", 0)  # wrappers go to pages by a join
+    assert {r.page_id: r.text for r in wrappers.main_texts(pages).collect()} == want
+
+
+def test_deep_markup(spark):
+    deep = "<div>" * 5000 + "end" + "</div>" * 5000
+    rows = [(i, "http://d/", deep + str(i)) for i in range(5)]
+    got = wrappers.main_texts(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert {r.text for r in got} == {str(i) for i in range(5)}
+
+
 def test_simple_tree_matching():
-    a, b = '["r",[["x",[]],["y",[["z",[]]]],["w",[]]]]', '["r",[["y",[["z",[]]]],["q",[]],["w",[]]]]'
-    assert wrappers.matched(a, b) == {0: 0, 1: 2, 2: 3, 4: 4}
+    """Against the recursive definition, on random trees."""
+    rng = random.Random(3)
+
+    def tree(depth):
+        return rng.choice("abc"), [tree(depth - 1) for _ in range(rng.randrange(4))] if depth else []
+
+    def text(t, depth=0):
+        return [f"{depth} {t[0]}", *(x for c in t[1] for x in text(c, depth + 1))]
+
+    def most(a, b):
+        if a[0] != b[0]:
+            return 0
+        t = [[0] * (len(b[1]) + 1) for _ in range(len(a[1]) + 1)]
+        for p, x in enumerate(a[1]):
+            for q, y in enumerate(b[1]):
+                t[p + 1][q + 1] = max(t[p][q + 1], t[p + 1][q], t[p][q] + most(x, y))
+        return 1 + t[-1][-1]
+
+    for _ in range(200):
+        a, b = tree(3), tree(3)
+        x, y = text(a), text(b)
+        got = wrappers.matched("\n".join(x), "\n".join(y))
+        assert len(got) == most(a, b)
+        assert all(x[i] == y[j] for j, i in got.items()) and sorted(got.values()) == [got[j] for j in sorted(got)]
+    assert wrappers.matched("0 r\n1 x\n1 y\n2 z\n1 w", "0 r\n1 y\n2 z\n1 q\n1 w") == {0: 0, 1: 2, 2: 3, 4: 4}
+
+
+# -- rows and columns of all kinds
+
+
+def test_stages_keep_columns_of_any_name(spark):
+    """Extra columns with names that are used inside, repeated and null doc_ids, null and empty texts."""
+    names = ["size", "_id", "_key", "_toxic", "taken", "_copy", "row", "key", "node", "score", "n", "whole", "target"]
+    rng = random.Random(4)
+    own = [(1, prose(30, rng)), (1, prose(30, rng)), (None, prose(25, rng)), (None, prose(25, rng)), (2, None), (3, ""), (4, prose(40, rng))]
+    rows = [(d, t, "en", "s" if i % 2 else None, len(t or ""), *[f"{n}{i}" for n in names]) for i, (d, t) in enumerate(own)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{n} string" for n in names))
+    labels = spark.createDataFrame([(1, 0), (4, 0)], "doc_id long, toxic int")
+    items = spark.createDataFrame([(1, "no such words in here at all, not a single one")], "item_id long, text string")
+    assert sorted(map(str, toxicity.civil_documents(docs, labels).collect())) == sorted(map(str, docs.collect()))
+    assert sorted(map(str, decontaminate.clean_documents(docs, items).collect())) == sorted(map(str, docs.collect()))
+    assert sorted(map(str, jaccard.one_each(docs).collect())) == sorted(map(str, docs.collect()))
+    mixed = mixing.mixed_documents(docs)
+    assert mixed.columns == docs.columns
+    got = mixed.collect()
+    assert {r["size"] for r in got if r.text and len(r.text) > 0} <= {f"size{i}" for i in range(len(own))}
+    assert sum(len(r.text.split()) for r in got) <= 3 * sum(len((t or "").split()) for _, t in own)
+    assert max(sum(r["size"] == f"size{i}" for r in got) for i in range(len(own))) <= 3
