@@ -127,3 +127,15 @@ def navigation(ranked: DataFrame, gold: DataFrame) -> DataFrame:
     f = ranked.join(gold, ["qid", "id"], "left_semi").groupBy("qid").agg(F.min("rank").alias("first"))
     r = ranked.join(f, "qid").where("rank <= first")
     return r.groupBy("qid", "first").agg((F.first("first") + 1).alias("calls"), F.sum("cost").alias("tokens"))
+
+
+def containing(queries: DataFrame, texts: DataFrame, head: int = 20) -> DataFrame:
+    """(qid, id) of the texts (id, content) that contain a query's text whole. Texts are found by the query's first letters,
+    so that only those that have them are compared; shorter queries are compared with all (a stated set)."""
+    q = queries.where("text IS NOT NULL AND text <> ''").withColumn("_head", F.substring("text", 1, head))
+    long, short = q.where(F.length("text") >= head), q.where(F.length("text") < head)
+    i = F.sequence(F.lit(1), F.length("content") - head + 1)
+    grams = texts.where(F.length("content") >= head).select("id", "content", F.explode(F.array_distinct(F.transform(i, lambda k: F.substring(F.col("content"), k, F.lit(head))))).alias("_head"))
+    a = grams.join(F.broadcast(long) if long.limit(10_001).count() <= 10_000 else long, "_head").where(F.contains("content", F.col("text"))).select("qid", "id")
+    b = texts.crossJoin(short).where(F.contains("content", F.col("text"))).select("qid", "id")
+    return a.unionByName(b).distinct()

@@ -174,3 +174,8 @@ def around_trigrams(rows: DataFrame, reach: int) -> DataFrame:
     r = rows.withColumn("g", trigrams(F.col("text")))
     near = F.concat(F.flatten(F.collect_list("g").over(w.rowsBetween(-reach, -1))), F.flatten(F.collect_list("g").over(w.rowsBetween(1, reach))))
     return r.select("id", "line", F.array_distinct(near).alias("around"))
+
+
+def light_cleanup(text: Column) -> Column:
+    """Without blanks at the ends of lines, and with one blank line in place of several."""
+    return F.regexp_replace(F.regexp_replace(text, r"[ \t]+\n", "\n"), r"\n{3,}", "\n\n")

@@ -206,3 +206,11 @@ def within_files(hits: DataFrame, files: DataFrame, by: str, least: int = 3) ->
     enough = F.broadcast(f.agg((F.count("*") >= least).alias("_enough")))  # one row
     out = marked.where("part = 0").unionByName(rest).join(enough).where("_enough").unionByName(hits.withColumn("_f", F.lit(None)).withColumn("part", F.lit(0)).join(enough).where("NOT _enough"), allowMissingColumns=True)
     return out.withColumn("place", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy("part", "rank"))).drop("_f", "part", "_enough")  # a bounded pool
+
+
+def grep_truncated(lines: DataFrame, pattern: str, most: int) -> DataFrame:
+    """The first matching lines in the order of path and line, and whether there were more (truncated)."""
+    w = Window.partitionBy(F.lit(1)).orderBy("path", "line")
+    first = lines.where(F.col("text").rlike(pattern)).orderBy("path", "line").limit(most + 1)
+    first = first.withColumn("_n", F.row_number().over(w)).withColumn("truncated", F.count("*").over(Window.partitionBy(F.lit(1))) > most)  # of most + 1 rows
+    return first.where(F.col("_n") <= most).drop("_n")

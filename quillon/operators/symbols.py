@@ -269,3 +269,17 @@ def docs_for_tag(edges: DataFrame, symbols: DataFrame) -> DataFrame:
     """(tag, doc): names of tag nodes and the distinct qualified names of what carries them (edges of kind tagged)."""
     a, b = symbols.select(F.col("id").alias("src"), F.col("qualified").alias("doc")), symbols.select(F.col("id").alias("dst"), F.col("name").alias("tag"), F.col("id").alias("tag_id"))
     return edges.where("kind = 'tagged'").select("src", "dst").join(a, "src").join(b, "dst").select("tag_id", "tag", "doc").distinct()
+
+
+def linked(nodes: DataFrame, spans: DataFrame) -> DataFrame:
+    """id and chunk: for each node the tightest span of its file around the whole of it."""
+    s = spans.select("file", F.col("id").alias("chunk"), F.col("start_line").alias("low"), F.col("end_line").alias("high"))
+    j = nodes.select("id", "file", "start_line", "end_line").join(s, "file").where("low <= start_line AND end_line <= high")
+    return placed(j, ["id"], [F.col("high") - F.col("low"), F.col("chunk")], 1).select("id", "chunk")
+
+
+def signatures(symbols: DataFrame) -> DataFrame:
+    """file and the names and lines of its functions, one a line: a file's symbols are bounded by the file."""
+    f = symbols.where("kind IN ('function', 'method')").withColumn("s", F.concat("name", F.lit(":"), F.col("start_line").cast("string")))
+    g = f.groupBy("file").agg(F.sort_array(F.collect_list(F.struct("start_line", "id", "s"))).alias("x"))
+    return g.select("file", F.array_join(F.transform("x", lambda x: x["s"]), "\n").alias("signatures"))

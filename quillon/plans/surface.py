@@ -140,3 +140,13 @@ def fan_out(roots: dict[str, DataFrame], ask: Callable[[DataFrame], DataFrame])
         part = ask(df).withColumn("turn", F.lit(turn)).withColumn("root", F.lit(root))
         out = part if out is None else out.unionByName(part)
     return out
+
+
+def refs(rows: DataFrame, kind: str, path: str, provenance: str) -> DataFrame:
+    """Results of any lane in one form: kind, id, path, first and last line, and where they come from."""
+    return rows.select(F.lit(kind).alias("kind"), F.col("id").cast("string").alias("id"), F.col(path).alias("path"), F.col("start_line").alias("first"), F.col("end_line").alias("last"), F.lit(provenance).alias("prov"))
+
+
+def symbol_shape(text: Column) -> Column:
+    """Whether the input is one name, maybe qualified, with a receiver or with ()."""
+    return text.rlike(r"^\(?\*?[A-Za-z_][A-Za-z0-9_]*\)?([.:]+[A-Za-z_][A-Za-z0-9_]*)*(\(\))?$")

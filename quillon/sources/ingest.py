@@ -175,3 +175,22 @@ def sibling_tests(files: DataFrame) -> DataFrame:
     code = f.where(~F.col("base").rlike(TEST_MARK)).select("path", "dir", stem.alias("stem"))
     tests = f.where(F.col("base").rlike(TEST_MARK)).select(F.col("path").alias("test"), "dir", bare.alias("stem"))
     return code.join(tests, ["dir", "stem"]).select("path", "test")
+
+
+def json_lines(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """Rows of JSON lines; blank and malformed ones are dropped."""
+    return spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path)
+
+
+def tree_hashes(files: DataFrame) -> DataFrame:
+    """dir and hash of every directory, bottom up: the digest of the sorted hashes of its files (dir, sha) and of the
+    directories in it. The deepest level goes first; there are as many rounds as levels."""
+    level = F.size(F.split("dir", "/"))
+    rows, done = files.select("dir", "sha"), None
+    deepest = rows.agg(F.max(level)).first()[0] or 0
+    for depth in range(deepest, 0, -1):
+        here = directory_hashes(rows.where(level == depth))
+        done = here if done is None else done.unionByName(here)
+        up = here.where(F.lit(depth > 1)).select(F.regexp_replace("dir", "/[^/]*$", "").alias("dir"), F.col("hash").alias("sha"))
+        rows = rows.where(level < depth).unionByName(up)
+    return done if done is not None else rows.select("dir", F.col("sha").alias("hash"))

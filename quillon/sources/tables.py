@@ -59,3 +59,21 @@ def dump_prefix(rows: DataFrame, order: str, budget: int, block: int = 1024) ->
 def stale(now: DataFrame, before: DataFrame) -> DataFrame:
     """path and whether its hash differs from that of the summary that was made before."""
     return now.join(before.select("path", F.col("hash").alias("_hash")), "path").select("path", (F.col("hash") != F.col("_hash")).alias("stale"))
+
+
+def latest(rows: DataFrame, keys: list[str], stamp: str) -> DataFrame:
+    """Of rows that share the keys, the one with the greatest stamp."""
+    rest = [c for c in rows.columns if c not in (*keys, stamp)]
+    return rows.groupBy(*keys).agg(F.max(F.struct(stamp, *rest)).alias("_x")).select(*keys, "_x.*").select(*rows.columns)
+
+
+def next_stamp(rows: DataFrame, now: int) -> DataFrame:
+    """One row: stamp, later than every one seen."""
+    return rows.agg(F.greatest(F.lit(now).cast("long"), F.coalesce(F.max("seen"), F.lit(0)) + 1).alias("stamp"))
+
+
+def rebuilt(old: DataFrame, new: DataFrame, stamp: int) -> DataFrame:
+    """The next graph table (id, hash, seen): new rows put in and what they lack pruned; an empty extraction keeps the old."""
+    if new.isEmpty():
+        return old
+    return upserted(old, new, stamp).where(F.col("seen") >= stamp).drop("action")
