@@ -2,17 +2,22 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import gc
 import tempfile
 import uuid
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Runs of ASCII white space, and of what is neither digit, a-z nor beyond ASCII, as Java patterns.
 SPACES = r"[\x20\x09-\x0D]+"
 BREAKS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: Bytes of an Arrow batch, where Spark has such a bound.
+BATCH_BYTES = 4 << 20
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -50,6 +55,9 @@ def small_batches(spark: SparkSession, rows: int = 500) -> None:
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(name, "10000")) <= rows:
         spark.conf.set(name, rows)
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.isModifiable(name):
+        spark.conf.set(name, str(BATCH_BYTES))
 
 
 _caches: dict[str, Callable[[], None]] = {}
@@ -65,6 +73,13 @@ def only(owner: str, clear: Callable[[], None] | None = None) -> None:
         _caches[owner] = clear
 
 
+def trimmed() -> None:
+    """In a Python worker, which stays: what Arrow and the C library hold without need goes back to the system."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # a C library of another kind keeps what it has
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def released(spark: SparkSession) -> None:
     """Lets Spark's cleaner delete the shuffle files of jobs that are over: it does once the driver's garbage is collected."""
     gc.collect()
