@@ -459,10 +459,10 @@ def _reports(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return m.where("run = 0").drop("run"), m.where("run = 1").drop("run")
 
 
-@query(_REPORT + " SELECT coalesce(a.qid, b.qid) AS qid, round(a.ndcg, 6) AS now, round(b.ndcg, 6) AS before, CASE WHEN b.ndcg IS NULL THEN 'only_now' WHEN a.ndcg IS NULL THEN 'only_before' WHEN a.ndcg < b.ndcg - 0.01 THEN 'worse' WHEN a.ndcg > b.ndcg + 0.01 THEN 'better' ELSE 'same' END AS state FROM (SELECT qid, max(ndcg) AS ndcg FROM a GROUP BY 1) a FULL JOIN (SELECT qid, max(ndcg) AS ndcg FROM b GROUP BY 1) b ON a.qid = b.qid")
+@query(_REPORT + " SELECT coalesce(a.qid, b.qid) AS qid, round(a.ndcg, 4) AS now, round(b.ndcg, 4) AS before, CASE WHEN b.ndcg IS NULL THEN 'only_now' WHEN a.ndcg IS NULL THEN 'only_before' WHEN a.ndcg < b.ndcg - 0.01 THEN 'worse' WHEN a.ndcg > b.ndcg + 0.01 THEN 'better' ELSE 'same' END AS state FROM (SELECT qid, max(ndcg) AS ndcg FROM a GROUP BY 1) a FULL JOIN (SELECT qid, max(ndcg) AS ndcg FROM b GROUP BY 1) b ON a.qid = b.qid")
 def ev10_regressions(spark: SparkSession, sf_dir: str) -> DataFrame:
     a, b = (x.groupBy("qid").agg(F.max("ndcg").alias("ndcg")) for x in _reports(spark, sf_dir))
-    return rounded(evaluation.regressions(a, b), "now", "before")
+    return rounded(evaluation.regressions(a, b), "now", "before", digits=4)
 
 
 @query(_REPORT + " SELECT type, count(*) AS n, round(avg(a.ndcg - b.ndcg), 6) AS change, avg(a.ndcg - b.ndcg) < -0.01 AS worse FROM a JOIN b USING (qid, type) GROUP BY type HAVING count(*) >= 5")
