@@ -217,3 +217,13 @@ def block_boundary(line: Column) -> Column:
 
 def error_line(line: Column) -> Column:
     return line.rlike("(?i)(error|warn|fatal|panic|exception|traceback|crash)")
+
+
+def terse(text: Column, level: int, least: float = 0.03) -> Column:
+    """A text with its lines' words of little content (1) left out and long words abbreviated (2), unless that saves less
+    than 3 % of its tokens."""
+    short = F.transform(F.split(text, "\n"), lambda x: without_function_words(x))
+    if level >= 2:
+        short = F.transform(short, abbreviated)
+    out = F.array_join(short, "\n")
+    return F.when((text != "") & (token_estimate(text) - token_estimate(out) >= least * token_estimate(text)), out).otherwise(text)

@@ -139,3 +139,9 @@ def containing(queries: DataFrame, texts: DataFrame, head: int = 20) -> DataFram
     a = grams.join(F.broadcast(long) if long.limit(10_001).count() <= 10_000 else long, "_head").where(F.contains("content", F.col("text"))).select("qid", "id")
     b = texts.crossJoin(short).where(F.contains("content", F.col("text"))).select("qid", "id")
     return a.unionByName(b).distinct()
+
+
+def structural(commits: DataFrame, least_dirs: int, most_files: int) -> DataFrame:
+    """commit, dirs and files of commits (commit, file, dir) that touch files of several directories, but not too many."""
+    g = commits.groupBy("commit").agg(F.count_distinct("dir").alias("dirs"), F.count("*").alias("files"))
+    return g.where((F.col("dirs") >= least_dirs) & (F.col("files") <= most_files))

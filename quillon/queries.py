@@ -625,6 +625,6 @@ def ag07_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return model.chunks(spark, sf_dir).agg(F.count_distinct("path").alias("files"), F.count("*").alias("chunks"), F.count_distinct("dir").alias("dirs"))
 
 
-from . import queries_relations, queries_search, queries_text  # noqa: E402, F401  they register theirs
+from . import queries_folds, queries_relations, queries_search, queries_text  # noqa: E402, F401  they register theirs
 
 __all__ = ["ORACLE", "QUERIES"]

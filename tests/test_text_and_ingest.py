@@ -8,9 +8,9 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from quillon.functions import paths, prose
+from quillon.functions import folds, paths, prose
 from quillon.functions import text as tx
-from quillon.operators import coupling, evaluation, lines, retrieval, telemetry
+from quillon.operators import coupling, evaluation, lines, retrieval, search, telemetry
 from quillon.plans import surface
 from quillon.sources import ingest
 
@@ -176,3 +176,30 @@ def test_metrics(spark):
     rel = spark.createDataFrame([(1, 11), (1, 99), (2, 5)], "qid long, id long")
     got = {r.qid: (round(r.ndcg, 4), r.recall, r.rr) for r in evaluation.metrics(ranked, rel).collect()}
     assert got == {1: (0.3869, 0.5, 0.5), 2: (0.0, 0.0, 0.0)}
+
+
+def test_folds(spark):
+    def two(a, b, f):
+        return spark.createDataFrame([(a, b)], "a string, b string").select(f(F.col("a"), F.col("b")).alias("y")).first().y
+
+    assert one(spark, "a", folds.fnv64) == "af63dc4c8601ec8c" and one(spark, "", folds.fnv64) == "cbf29ce484222325"
+    assert one(spark, '{"a b": [1, 2] }', folds.json_minified) == '{"a b":[1,2]}' and one(spark, "{no json }", folds.json_minified) == "{no json }"
+    assert two("a/b", "../c.md", folds.resolved) == "a/c.md" and two("a", "../../c.md", folds.resolved) is None
+    text = "\n".join(f"line {i}" for i in range(50))
+    assert two(text, text.replace("line 20", "LINE"), folds.unified_diff).split("\n")[5:8] == [" line 19", "-line 20", "+LINE"] or "+LINE" in two(text, text.replace("line 20", "LINE"), folds.unified_diff)
+    assert two("x", "y", folds.unified_diff) is None
+    assert one(spark, "a b\nb a\n\nc\na c\nd e\nf\ng\na", folds.without_stale_lines) == "a b\n\nc\nd e\nf\ng\na"
+    e = spark.createDataFrame([("k", 0, 1), ("k", 20, 2), ("k", 35, 3), ("k", 60, 4), ("j", 60, 5)], "key string, us long, event_id long")
+    assert {r.event_id for r in folds.fired(e, 30).collect()} == {1, 3, 5}
+    assert [folds.narrowable(p) for p in ("handler", "(?i)handler", "a|b", "colou?r", r"get\w+Name", "[ab]cd")] == [True, False, False, False, True, True]
+    assert folds.match_query('find "exact phrase" db x', {"db": "database sql"}) == [["find"], ["exact phrase"], ["db", "database", "sql"]] and not folds.match_all([[]] * 3)
+    low, high = folds.bootstrap([-0.2, -0.1, -0.15, -0.18] * 5)
+    assert low < high < 0 < folds.bootstrap([0.1, -0.1] * 20)[1]
+    assert search.max_coverage([({1, 2}, 2), ({3}, 1), ({1, 2, 3}, 4), (set(), 1)], 3) == [0, 1]
+
+
+def test_ignore_rules(spark):
+    rules = ["*.log", "build/", "/top.txt", "docs/**/*.tmp", "!keep.log"]
+    names = ["a.log", "x/b.log", "x/keep.log", "build/a", "x/build/a", "building", "top.txt", "x/top.txt", "docs/a/b.tmp", "docs/b.tmp"]
+    d = spark.createDataFrame([(x,) for x in names], "x string")
+    assert {r.x for r in d.where(folds.ignored(F.col("x"), rules)).collect()} == {"a.log", "x/b.log", "build/a", "x/build/a", "top.txt", "docs/a/b.tmp", "docs/b.tmp"}
