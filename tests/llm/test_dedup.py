@@ -154,6 +154,29 @@ def test_repeated_bytes(documents):
     assert got == want
 
 
+def test_passages_of_other_documents(documents):
+    """Windows of 51 words that another document has, against brute force; those of the same document don't count."""
+    rng = random.Random(12)
+    shared = [prose(n, rng) for n in (51, 60, 120, 50)]
+    texts = [prose(rng.randint(0, 90), rng) + " " + rng.choice(shared) + "  " + prose(rng.randint(0, 60), rng) for _ in range(24)]
+    own = prose(70, rng)
+    texts += [own + " x " + own, texts[0], texts[0], None, "", " ".join(shared[2].split()[10:95])]
+    words = [(t or "").split() for t in texts]
+    where = {}
+    for d, w in enumerate(words):
+        for i in range(len(w) - 50):
+            where.setdefault(tuple(w[i : i + 51]), set()).add(d)
+    want = {}
+    for d, w in enumerate(words):
+        mark = bytearray(len(w))
+        for i in range(len(w) - 50):
+            if len(where[tuple(w[i : i + 51])]) > 1:
+                mark[i : i + 51] = b"\x01" * 51
+        want[d] = (sum(mark), len(re.findall(b"\x01+", bytes(mark))))
+    assert want[24] == (0, 0) and sum(n > 0 for n, _ in want.values()) > 10
+    assert {r.doc_id: (r.n_passage_words, r.n_passages) for r in suffixes.without_repeats(documents(texts)).collect()} == want
+
+
 def test_long_texts_are_scanned_in_pieces(documents, monkeypatch):
     rng = random.Random(3)
     text = "".join(chr(rng.randrange(97, 123)) for _ in range(600_000))
