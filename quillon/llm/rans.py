@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import files
-from .common import shared_dir, small_batches
+from .common import only, shared_dir, small_batches, trimmed
 
 MAGIC = b"QRANS\x01\n\x00"
 SCALE, LOW = 20, np.uint64(1 << 31)
@@ -43,7 +43,7 @@ def uneven(text: str) -> bool:
 
 #: A word of Latin letters, of which a byte-level BPE makes one unit, and marks, of which it makes another.
 WORD = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u017f]+)([.,;:!?%*#$&|]*)")
-CACHE_PIECES = 600_000
+CACHE_PIECES = 450_000
 
 
 def _byte_letters() -> dict[int, str]:
@@ -262,6 +262,7 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, segment: int = SE
         from pyspark import TaskContext
 
         encoder, part = _encoder(tokenizer), TaskContext.get().partitionId()
+        only("rans", encoder.clear)
         held, doc_ids, lengths, n, seq = [], [], [], 0, 0
 
         def close() -> pa.RecordBatch:
@@ -284,6 +285,8 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, segment: int = SE
                     held, doc_ids, lengths, n, seq = [], [], [], 0, seq + 1
         if doc_ids:
             yield close()
+        held.clear()
+        trimmed()
 
     small_batches(docs.sparkSession)
     d = docs.select("doc_id", "text").repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
