@@ -14,11 +14,9 @@ length: a document can span blocks, and a segment is closed after the document t
 from __future__ import annotations
 
 import json
-import re
 import struct
 import zlib
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -41,86 +39,79 @@ def uneven(text: str) -> bool:
     return text[0].isspace() or text[-1].isspace() or any(x in text for x in ("  ", "\n\n", " \n", "\n ", *OTHER_SPACES))
 
 
-#: A word of Latin letters, of which a byte-level BPE makes one unit, and marks, of which it makes another.
-WORD = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u017f]+)([.,;:!?%*#$&|]*)")
-CACHE_PIECES = 450_000
-
-
-def _byte_letters() -> dict[int, str]:
-    """The letters by which byte-level BPE names bytes: printable ones stand for themselves, the others from 256 on."""
-    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    others = [b for b in range(256) if b not in plain]
-    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(others)}
+#: Pieces of each of the two generations of Encoder's cache.
+CACHE_PIECES = 300_000
 
 
 class Encoder:
     """Encodes texts by pieces between which no token of a byte-level BPE crosses: a space before a word goes with the
-    word, a single line feed stands alone, marks after letters stand alone. Equal pieces share one call of the tokenizer."""
+    word, a single line feed begins a piece. Equal pieces are encoded once; the new pieces of some texts are encoded as one
+    text, whose ids are cut where pieces end. Of the pieces kept, those that the last CACHE_PIECES new ones came without go."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.letters = Tokenizer.from_file(path), _byte_letters()
+        self.tokenizer = Tokenizer.from_file(path)
+        self.bytes = np.zeros(self.tokenizer.get_vocab_size() + 1, np.int64)  # of each id; byte-level BPE names a byte by a letter
+        for token, i in self.tokenizer.get_vocab(with_added_tokens=False).items():
+            self.bytes[i] = len(token)
+        for i, token in self.tokenizer.get_added_tokens_decoder().items():
+            self.bytes[i] = len(token.content.encode())
         self.clear()
 
     def clear(self) -> None:
-        self.codes: dict[str, int] = {}
-        self.words: dict[str, list[int]] = {}
-        self.flat, self.ends = np.empty(0, np.uint32), np.zeros(1, np.int64)
-
-    def _whole(self, text: str) -> list[int]:
-        return self.tokenizer.encode(text, add_special_tokens=False).ids
-
-    def _piece(self, piece: str) -> list[int]:
-        """Pieces begin with \\x01 at the start of a text, with a line feed after one, else after a space."""
-        head = {"\x01": "", "\n": "\n"}.get(piece[:1], " ")
-        body = piece if head == " " else piece[1:]
-        m = WORD.fullmatch(body)
-        if not m:
-            return self._whole(head + body)
-        word, marks = m.groups()
-        lead = "" if head == "\n" else head
-        ids = self.words.get(lead + word)
-        if ids is None:
-            named = (lead + word).encode().decode("latin-1").translate(self.letters)
-            ids = self.words[lead + word] = [t.id for t in self.tokenizer.model.tokenize(named)]
-        return (self._whole("\n") if head == "\n" else []) + ids + (self._marks(marks) if marks else [])
-
-    def _marks(self, marks: str) -> list[int]:
-        ids = self.words.get(marks)
-        if ids is None:
-            ids = self.words[marks] = self._whole(marks)
-        return ids
-
-    def _add(self, pieces: list[str]) -> None:
-        got = [self._whole(p[1:]) if p[0] == "\x02" else self._piece(p) for p in pieces]
-        sizes = np.fromiter(map(len, got), np.int64, len(got))
-        self.codes.update(zip(pieces, range(len(self.codes), len(self.codes) + len(got)), strict=True))
-        self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(got), np.uint32, int(sizes.sum()))])
-        self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(sizes)])
+        """Pieces and their ids, as bytes. Pieces begin with \\x01 at the start of a text, with a line feed after one, else after a space."""
+        self.codes: dict[str, bytes] = {}
+        self.former: dict[str, bytes] = {}
+
+    def _whole(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+
+    def _add(self, pieces: set[str]) -> None:
+        if len(self.codes) + len(pieces) > CACHE_PIECES:
+            self.codes, self.former = {}, self.codes
+        new = []
+        for p in pieces:
+            if (ids := self.former.get(p)) is not None:
+                self.codes[p] = ids
+            else:
+                new.append(p)
+        if not new:
+            return
+        shown = ["\n" + p[1:] if p[0] in "\x01\n" else " " + p for p in new]
+        ids = self._whole("".join(shown))
+        ends, upto = np.cumsum([len(x.encode()) for x in shown]), np.cumsum(self.bytes[ids])
+        cut = np.searchsorted(upto, ends)
+        if upto[-1] != ends[-1] or (upto[cut] != ends).any():
+            raise ValueError("a token crosses two pieces: the tokenizer is no byte-level BPE")
+        data, cut = ids.tobytes(), (4 * (cut + 1)).tolist()
+        # A text's first piece has no line feed before it.
+        self.codes.update((p, data[begin + 4 * (p[0] == "\x01") : end]) for p, begin, end in zip(new, [0, *cut], cut, strict=False))
 
     def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and the number of ids of each text; both without end ids."""
-        counts, pieces = [], []
-        if len(self.codes) > CACHE_PIECES or len(self.words) > CACHE_PIECES or len(self.flat) > 16 * CACHE_PIECES:
-            self.clear()
+        counts, pieces, odd = [], [], {}
         for text in texts:
             if not text:
                 own = []
             elif uneven(text):
-                own = ["\x02" + text]
+                odd[len(pieces)], own = text, [""]
             else:
                 own = ("\x01" + text).replace("\n", " \n").split(" ")
             counts.append(len(own))
             pieces += own
-        if new := [*set(pieces).difference(self.codes)]:
-            self._add(new)
-        codes = np.fromiter(map(self.codes.__getitem__, pieces), np.int64, len(pieces))
-        lengths = self.ends[codes + 1] - self.ends[codes]
-        upto = np.concatenate(([0], np.cumsum(lengths)))
-        ids = self.flat[np.repeat(self.ends[codes] - upto[:-1], lengths) + np.arange(upto[-1])]
+        got = list(map(self.codes.get, pieces))
+        for i, text in odd.items():
+            got[i] = self._whole(text).tobytes()
+        missing = [i for i, x in enumerate(got) if x is None]
+        if missing:
+            self._add({pieces[i] for i in missing})
+            for i in missing:
+                got[i] = self.codes[pieces[i]]
+        ids = np.frombuffer(b"".join(got), "<u4")
+        upto = np.concatenate(([0], np.cumsum(np.fromiter(map(len, got), np.int64, len(got)) // 4)))
         piece_ends = np.cumsum(np.array(counts, np.int64))
-        return ids, upto[piece_ends] - upto[piece_ends - counts]
+        return ids, np.diff(upto[piece_ends], prepend=0)
 
 
 def scaled(counts: np.ndarray) -> np.ndarray:

@@ -28,6 +28,23 @@ def test_pieces_give_the_tokenizers_ids():
     assert n.tolist() == [len(w) for w in want] and ids.tolist() == [i for w in want for i in w]
 
 
+def test_pieces_kept_are_bounded_and_frequent_ones_are_encoded_once(monkeypatch):
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(rans, "CACHE_PIECES", 50)
+    t, own, encoded = Tokenizer.from_file(TOKENIZER), rans.Encoder(TOKENIZER), []
+    whole = own._whole
+    monkeypatch.setattr(own, "_whole", lambda text: encoded.append(text) or whole(text))
+    for i in range(100):
+        texts = [f"often this\nword{i} x{i}, <|endoftext|> l'été", "", "often  uneven"]
+        ids, n = own(texts)
+        want = [t.encode(x, add_special_tokens=False).ids for x in texts]
+        assert n.tolist() == [len(w) for w in want] and ids.tolist() == [i for w in want for i in w]
+        assert len(own.codes) <= 50 and len(own.former) <= 50
+    assert sum("often this" in x or " this" in x for x in encoded) == 1
+    assert [len(x) for x in own([""])] == [0, 1] and [len(x) for x in own([])] == [0, 0]
+
+
 def test_blocks_round_trip():
     rng = np.random.default_rng(2)
     for n in (1, 2, 255, 256, 5000, 70_000):
