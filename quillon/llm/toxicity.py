@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from .common import only, small_batches
+from .common import only, small_batches, trimmed
 
 BITS, FACTORS, SAMPLE, EPOCHS, RARE = 20, 4, 12_000, 8, 10
 WORD = re.compile(r"[^\W\d_]+")
@@ -117,6 +117,13 @@ def fitted(texts_terms: list[np.ndarray], labels: np.ndarray, epochs: int = EPOC
     return rows
 
 
+def emptied() -> None:
+    """In a Python worker: the caches of other operators and old models go back to the system before a model is fitted."""
+    only("toxicity", _held.clear)
+    _held.clear()
+    trimmed()
+
+
 def labelled(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """text and toxic of at most `sample` labelled rows outside the held-out quarter."""
     known = labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL").where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
@@ -129,20 +136,25 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string")) % 4 == 2
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> bytes:
-    """The model as bytes. Terms are taken where the texts are; one task of at most `sample` rows fits them."""
+def _to_terms(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    emptied()
+    for d in parts:
+        yield pd.DataFrame({"toxic": d.toxic.astype("int64"), "terms": [text_terms(t).tobytes() for t in d.text]})
 
-    def to_terms(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for d in parts:
-            yield pd.DataFrame({"toxic": d.toxic.astype("int64"), "terms": [text_terms(t).tobytes() for t in d.text]})
 
-    def train(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        d = pd.concat([*parts, pd.DataFrame({"toxic": [], "terms": []})]).sort_values(["terms", "toxic"])
-        yield pd.DataFrame({"model": [fitted([np.frombuffer(t, np.int32) for t in d.terms], (d.toxic.to_numpy() > 0).astype(float)).tobytes()]})
+def _train(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    emptied()
+    d = pd.concat([*parts, pd.DataFrame({"toxic": [], "terms": []})]).sort_values(["terms", "toxic"])
+    yield pd.DataFrame({"model": [fitted([np.frombuffer(t, np.int32) for t in d.terms], (d.toxic.to_numpy() > 0).astype(float)).tobytes()]})
+    del d
+    trimmed()
 
+
+def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> bytes:
+    """The model as bytes. Terms are taken where the texts are; one task of at most `sample` rows fits them."""
     small_batches(docs.sparkSession)
-    rows = labelled(docs, labels, sample).mapInPandas(to_terms, "toxic long, terms binary")
-    models = rows.repartition(1).mapInPandas(train, "model binary").collect()
+    rows = labelled(docs, labels, sample).mapInPandas(_to_terms, "toxic long, terms binary")
+    models = rows.repartition(1).mapInPandas(_train, "model binary").collect()
     return models[0].model if models else fitted([], np.zeros(0)).tobytes()
 
 
@@ -157,6 +169,7 @@ def scores(text: Column, model: bytes, spark) -> Column:
     @pandas_udf("double")
     def score(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         only("toxicity", _held.clear)
+        trimmed()
         data = shared.value
         key = zlib.crc32(data)
         if key not in _held:

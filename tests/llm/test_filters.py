@@ -187,6 +187,20 @@ def test_toxic_pairs_are_learned(spark, documents):
 # -- main text
 
 
+def test_a_fit_empties_the_caches_of_other_operators(monkeypatch):
+    import pandas as pd
+
+    from quillon.llm import common
+
+    monkeypatch.setattr(common, "_caches", {})
+    for step, rows in ((toxicity._to_terms, {"text": ["a b"], "toxic": [1]}), (toxicity._train, {"terms": [b""], "toxic": [1]})):
+        pieces = {"x": b"1"}
+        common.only("rans", pieces.clear)
+        toxicity._held[1] = object()
+        assert len(list(step(iter([pd.DataFrame(rows)])))) == 1
+        assert not pieces and not toxicity._held
+
+
 def test_main_text_of_marked_pages():
     page = (
         "<html><head><title>T</title><style>p{}</style></head><body><header>Top</header><nav><a>Menu</a></nav><div class='cookie-notice'>Cookies</div>"
