@@ -123,6 +123,14 @@ def test_recall_of_edit_similarity(documents):
     assert all(i in {x for ids in cases.values() for x in ids} for i in gone)
 
 
+def test_lines_are_gone_once_their_groups_are_linked(documents, monkeypatch):
+    sizes, put = [], line_dedup.dropped
+    monkeypatch.setattr(line_dedup, "dropped", lambda df: (sizes.append("line" in df.columns and "place" in df.columns), put(df)))
+    text = "one two three four five six seven eight nine ten"
+    got = {r.doc_id: r.n_removed for r in line_dedup.deduplicated(documents([text, text + "s\nother", text]), apart=None).collect()}
+    assert any(sizes) and got == {0: 0, 1: 1, 2: 1}
+
+
 def test_lines_of_empty_tables_and_copies(documents):
     assert line_dedup.deduplicated(documents([])).count() == 0
     got = line_dedup.deduplicated(documents([(1, "one line here"), (1, "one line here"), (2, "one line here"), (3, "")])).collect()
