@@ -225,6 +225,15 @@ def test_jaccard_join(documents):
     assert kept == {r for _, r in want.values()}
 
 
+def test_keys_are_deleted_before_texts_are_written(documents, monkeypatch):
+    steps, put, drop = [], jaccard.written, jaccard.dropped
+    monkeypatch.setattr(jaccard, "written", lambda df, purpose: (put(df, purpose), steps.append(purpose))[0])
+    monkeypatch.setattr(jaccard, "dropped", lambda df: (steps.append("drop"), drop(df))[0])
+    got = jaccard.joined(documents(["a b c d e f", "a b c d e f", "g h i j k", None])).collect()
+    assert sorted((r.doc_id, r.component_id) for r in got) == [(0, 0), (1, 0), (2, 2), (3, 3)]
+    assert "drop" in steps[: steps.index("texts")]
+
+
 def test_jaccard_of_an_empty_table(documents):
     assert jaccard.joined(documents([])).count() == 0
 
