@@ -20,6 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,7 +29,7 @@ from .common import only, shared_dir, small_batches, trimmed
 
 MAGIC = b"QRANS\x01\n\x00"
 SCALE, LOW = 20, np.uint64(1 << 31)
-LANES, BLOCK, SEGMENT = 2048, 1 << 20, 1 << 23
+LANES, BLOCK, SEGMENT, SLICE = 2048, 1 << 20, 1 << 23, 512
 END = 0
 #: White space other than space and line feed, and the mark of a text's start.
 OTHER_SPACES = [c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n"] + ["\x01", "\x02"]
@@ -41,12 +42,18 @@ def uneven(text: str) -> bool:
 
 #: Pieces of each of the two generations of Encoder's cache.
 CACHE_PIECES = 300_000
+#: Marks that are cut off the end of a piece if an ASCII letter or digit comes before.
+MARKS = ".,;:!?%&*#$"
+#: Of each byte, whether it is an ASCII letter or digit.
+WORDS = np.array([chr(b).isascii() and chr(b).isalnum() for b in range(256)])
 
 
 class Encoder:
     """Encodes texts by pieces between which no token of a byte-level BPE crosses: a space before a word goes with the
-    word, a single line feed begins a piece. Equal pieces are encoded once; the new pieces of some texts are encoded as one
-    text, whose ids are cut where pieces end. Of the pieces kept, those that the last CACHE_PIECES new ones came without go."""
+    word, a single line feed begins a piece. The pieces of some texts are told apart by Arrow, so that each distinct one is
+    looked up once; the new ones are encoded as one text, whose ids are cut where pieces end. Marks at a piece's end are
+    encoded apart if the tokenizer splits there. Of the pieces kept, those that the last CACHE_PIECES new ones came
+    without go."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -55,14 +62,19 @@ class Encoder:
         self.bytes = np.zeros(self.tokenizer.get_vocab_size() + 1, np.int64)  # of each id; byte-level BPE names a byte by a letter
         for token, i in self.tokenizer.get_vocab(with_added_tokens=False).items():
             self.bytes[i] = len(token)
-        for i, token in self.tokenizer.get_added_tokens_decoder().items():
+        added = self.tokenizer.get_added_tokens_decoder()
+        for i, token in added.items():
             self.bytes[i] = len(token.content.encode())
+        split = self.tokenizer.pre_tokenizer.pre_tokenize_str if self.tokenizer.pre_tokenizer else lambda text: []
+        apart = all([x[1] for x in split(c + MARKS)] == [(0, 1), (1, 1 + len(MARKS))] for c in "aZ0")
+        self.marks = "" if not apart or any(c in token.content for token in added.values() for c in MARKS) else MARKS
         self.clear()
 
     def clear(self) -> None:
         """Pieces and their ids, as bytes. Pieces begin with \\x01 at the start of a text, with a line feed after one, else after a space."""
         self.codes: dict[str, bytes] = {}
         self.former: dict[str, bytes] = {}
+        self.ends: dict[str, bytes] = {}
 
     def _whole(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
@@ -71,8 +83,8 @@ class Encoder:
         if len(self.codes) + len(pieces) > CACHE_PIECES:
             self.codes, self.former = {}, self.codes
         new = []
-        for p in pieces:
-            if (ids := self.former.get(p)) is not None:
+        for p, ids in zip(pieces, map(self.former.get, pieces), strict=True):
+            if ids is not None:
                 self.codes[p] = ids
             else:
                 new.append(p)
@@ -80,7 +92,7 @@ class Encoder:
             return
         shown = ["\n" + p[1:] if p[0] in "\x01\n" else " " + p for p in new]
         ids = self._whole("".join(shown))
-        ends, upto = np.cumsum([len(x.encode()) for x in shown]), np.cumsum(self.bytes[ids])
+        ends, upto = np.cumsum(pc.binary_length(pa.array(shown, pa.string())).to_numpy(), dtype=np.int64), np.cumsum(self.bytes[ids])
         cut = np.searchsorted(upto, ends)
         if upto[-1] != ends[-1] or (upto[cut] != ends).any():
             raise ValueError("a token crosses two pieces: the tokenizer is no byte-level BPE")
@@ -88,30 +100,72 @@ class Encoder:
         # A text's first piece has no line feed before it.
         self.codes.update((p, data[begin + 4 * (p[0] == "\x01") : end]) for p, begin, end in zip(new, [0, *cut], cut, strict=False))
 
-    def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """All ids, and the number of ids of each text; both without end ids."""
-        counts, pieces, odd = [], [], {}
-        for text in texts:
-            if not text:
-                own = []
-            elif uneven(text):
-                odd[len(pieces)], own = text, [""]
-            else:
-                own = ("\x01" + text).replace("\n", " \n").split(" ")
-            counts.append(len(own))
-            pieces += own
+    def _ids(self, pieces: list[str]) -> list[bytes]:
+        """The ids of distinct pieces."""
         got = list(map(self.codes.get, pieces))
-        for i, text in odd.items():
-            got[i] = self._whole(text).tobytes()
         missing = [i for i, x in enumerate(got) if x is None]
         if missing:
             self._add({pieces[i] for i in missing})
             for i in missing:
                 got[i] = self.codes[pieces[i]]
-        ids = np.frombuffer(b"".join(got), "<u4")
-        upto = np.concatenate(([0], np.cumsum(np.fromiter(map(len, got), np.int64, len(got)) // 4)))
-        piece_ends = np.cumsum(np.array(counts, np.int64))
-        return ids, np.diff(upto[piece_ends], prepend=0)
+        return got
+
+    def _end(self, marks: str) -> bytes:
+        """The ids of marks after an ASCII letter or digit."""
+        if marks not in self.ends:
+            ids = self._whole("a" + marks)
+            if self.bytes[ids[0]] != 1:
+                raise ValueError("a token crosses two pieces: the tokenizer is no byte-level BPE")
+            if len(self.ends) > CACHE_PIECES:
+                self.ends.clear()
+            self.ends[marks] = ids[1:].tobytes()
+        return self.ends[marks]
+
+    def _cut(self, pieces: pa.Array) -> tuple[pa.Array, np.ndarray, pa.Array]:
+        """The pieces without the marks that are encoded apart; which pieces have such, and these."""
+        none = np.zeros(0, np.int64)
+        if not len(pieces) or not self.marks:
+            return pieces, none, pa.array([], pa.large_string())
+        stems = pc.utf8_rtrim(pieces, characters=self.marks)
+        ends, data = np.frombuffer(stems.buffers()[1], np.int64)[1 + stems.offset :][: len(stems)], np.frombuffer(stems.buffers()[2], np.uint8)
+        sizes = pc.binary_length(stems).to_numpy()
+        cut = (sizes > 0) & (sizes < pc.binary_length(pieces).to_numpy()) & WORDS[data[np.maximum(ends - 1, 0)]]
+        where = np.flatnonzero(cut)
+        marks = pc.replace_substring_regex(pieces.take(pa.array(where)), f"(?s)^.*[^{self.marks}]", "")
+        return pc.if_else(pa.array(cut), stems, pieces), where, marks
+
+    def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids, and the number of ids of each text; both without end ids."""
+        odd = {i: self._whole(text) for i, text in enumerate(texts) if text and uneven(text)}
+        even = pa.array(["\x01" + ("" if i in odd else text) for i, text in enumerate(texts)], pa.large_string())
+        split = pc.split_pattern(pc.replace_substring(even, "\n", " \n"), " ")
+        pieces = split.flatten().dictionary_encode()
+        stems, where, marks = self._cut(pieces.dictionary)
+        stems, marks = stems.dictionary_encode(), marks.dictionary_encode()
+        # Each distinct piece is a stem and an end, which is mostly nothing.
+        codes = self._ids(stems.dictionary.to_numpy(zero_copy_only=False).tolist())
+        n, codes = len(codes), [*codes, b"", *map(self._end, marks.dictionary.to_pylist())]
+        parts = np.full((len(stems), 2), n, np.int64)
+        parts[:, 0] = stems.indices.to_numpy()
+        parts[where, 1] = marks.indices.to_numpy() + n + 1
+        sizes = np.fromiter(map(len, codes), np.int64, len(codes)) // 4
+        ids = _taken(np.frombuffer(b"".join(codes), "<u4"), sizes, parts.ravel())
+        sizes, which = sizes[parts].sum(1), pieces.indices.to_numpy()
+        ids = _taken(ids, sizes, which)
+        upto = np.concatenate(([0], np.cumsum(sizes[which])))
+        ends = upto[np.cumsum(pc.list_value_length(split).to_numpy(), dtype=np.int64)]
+        if odd:
+            own = np.split(ids, ends)[:-1]
+            for i, x in odd.items():
+                own[i] = x
+            ids, ends = np.concatenate(own), np.cumsum([len(x) for x in own])
+        return ids, np.diff(ends, prepend=0)
+
+
+def _taken(values: np.ndarray, sizes: np.ndarray, which: np.ndarray) -> np.ndarray:
+    """Of values that are lists of these sizes, one after the other, some lists."""
+    starts = pa.array(np.concatenate(([0], np.cumsum(sizes))), pa.int64())
+    return pa.LargeListArray.from_arrays(starts, pa.array(values, pa.uint32())).take(pa.array(which)).flatten().to_numpy()
 
 
 def scaled(counts: np.ndarray) -> np.ndarray:
@@ -263,17 +317,20 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, segment: int = SE
             return pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int64()), "seq": pa.array([seq], pa.int64()), "path": [uri], "n_docs": pa.array([len(doc_ids)], pa.int64()), "n_ids": pa.array([n], pa.int64())})
 
         for batch in batches:
-            for at in range(0, batch.num_rows, 64):
-                own = batch.slice(at, 64)
+            for at in range(0, batch.num_rows, SLICE):
+                own = batch.slice(at, SLICE)
                 ids, sizes = encoder([x or "" for x in own.column(1).to_pylist()])
-                ends = np.cumsum(sizes)
-                held.append(np.insert(ids, ends, END))
-                lengths.append(sizes + 1)
-                doc_ids += own.column(0).to_pylist()
-                n += len(held[-1])
-                if n >= segment:
-                    yield close()
-                    held, doc_ids, lengths, n, seq = [], [], [], 0, seq + 1
+                ids, sizes, names = np.insert(ids, np.cumsum(sizes), END), sizes + 1, own.column(0).to_pylist()
+                upto = np.concatenate(([0], np.cumsum(sizes)))
+                for i in range(0, len(names), 64):
+                    j = min(i + 64, len(names))
+                    held.append(ids[upto[i] : upto[j]])
+                    lengths.append(sizes[i:j])
+                    doc_ids += names[i:j]
+                    n += len(held[-1])
+                    if n >= segment:
+                        yield close()
+                        held, doc_ids, lengths, n, seq = [], [], [], 0, seq + 1
         if doc_ids:
             yield close()
         held.clear()

@@ -45,6 +45,21 @@ def test_pieces_kept_are_bounded_and_frequent_ones_are_encoded_once(monkeypatch)
     assert [len(x) for x in own([""])] == [0, 1] and [len(x) for x in own([])] == [0, 0]
 
 
+def test_words_before_marks_are_encoded_once(monkeypatch):
+    from tokenizers import Tokenizer
+
+    t, own, encoded = Tokenizer.from_file(TOKENIZER), rans.Encoder(TOKENIZER), []
+    whole = own._whole
+    monkeypatch.setattr(own, "_whole", lambda text: encoded.append(text) or whole(text))
+    rng = random.Random(4)
+    texts = ["x quagnop, quagnop. quagnop!\nand quagnop?!", "", "<|endoftext|>, l'été, 12. a.b. '; é!"]
+    texts += ["".join(rng.choice("aZ9 é.,;:!?%&*#$'\n日|>") for _ in range(rng.randint(0, 40))) for _ in range(500)]
+    ids, n = own(texts)
+    want = [t.encode(x, add_special_tokens=False).ids for x in texts]
+    assert n.tolist() == [len(w) for w in want] and ids.tolist() == [i for w in want for i in w]
+    assert "".join(encoded).count("quagnop") == 1
+
+
 def test_blocks_round_trip():
     rng = np.random.default_rng(2)
     for n in (1, 2, 255, 256, 5000, 70_000):
