@@ -234,6 +234,28 @@ def test_keys_are_deleted_before_texts_are_written(documents, monkeypatch):
     assert "drop" in steps[: steps.index("texts")]
 
 
+def test_large_groups_of_near_copies_form_few_pairs(documents, monkeypatch):
+    rng, formed, put = random.Random(9), [], jaccard.across
+    base, texts = prose(200, rng).split(), []
+    for _ in range(300):
+        words = list(base)
+        for i in rng.sample(range(len(words)), 2):
+            words[i] = rng.choice(VOCABULARY)
+        texts.append(" ".join(words))
+
+    def counted(lists, compatible):
+        out = put(lists, compatible)
+        formed.append(out.count())
+        return out
+
+    monkeypatch.setattr(jaccard, "across", counted)
+    sets = [{tuple(w[i : i + 4]) for i in range(len(w) - 3)} for w in (t.split() for t in texts)]
+    links = [(i, j) for i in range(len(texts)) for j in range(i) if 100 * len(sets[i] & sets[j]) >= 85 * len(sets[i] | sets[j])]
+    want = roots(range(len(texts)), links)
+    assert {r.doc_id: r.component_id for r in jaccard.joined(documents(texts)).collect()} == want
+    assert sum(formed) < len(links) / 2, (formed, len(links))
+
+
 def test_jaccard_of_an_empty_table(documents):
     assert jaccard.joined(documents([])).count() == 0
 
