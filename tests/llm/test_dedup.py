@@ -256,6 +256,21 @@ def test_large_groups_of_near_copies_form_few_pairs(documents, monkeypatch):
     assert sum(formed) < len(links) / 2, (formed, len(links))
 
 
+def test_memory_of_other_operators_goes_before_texts_come(monkeypatch):
+    import pyarrow as pa
+
+    steps = []
+    monkeypatch.setattr(jaccard, "only", lambda owner: steps.append("only"))
+    monkeypatch.setattr(jaccard, "trimmed", lambda: steps.append("trimmed"))
+
+    def batches():
+        steps.append("batch")
+        yield pa.RecordBatch.from_pydict({"text": ["a b", None]})
+
+    assert [b.num_rows for b in jaccard.sliced(batches(), 0)] == [2]
+    assert steps == ["only", "trimmed", "batch", "trimmed"]
+
+
 def test_jaccard_of_an_empty_table(documents):
     assert jaccard.joined(documents([])).count() == 0
 
