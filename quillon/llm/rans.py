@@ -29,8 +29,10 @@ from .common import only, shared_dir, small_batches, trimmed
 
 MAGIC = b"QRANS\x01\n\x00"
 SCALE, LOW = 20, np.uint64(1 << 31)
-LANES, BLOCK, SEGMENT, SLICE = 2048, 1 << 20, 1 << 23, 512
+LANES, BLOCK, SEGMENT, SLICE = 2048, 1 << 20, 1 << 23, 256
 END = 0
+#: Slices after which memory that is free goes back to the system.
+TRIM = 4
 #: White space other than space and line feed, and the mark of a text's start.
 OTHER_SPACES = [c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n"] + ["\x01", "\x02"]
 
@@ -232,7 +234,9 @@ def tables(freq: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def write_segment(uri: str, doc_ids: list, lengths: np.ndarray, ids: np.ndarray) -> None:
-    counts = np.bincount(ids)
+    counts = np.zeros(int(ids.max(initial=0)) + 1, np.int64)
+    for first in range(0, len(ids), BLOCK):  # bincount copies what it counts, in 64 bits
+        counts += np.bincount(ids[first : first + BLOCK], minlength=len(counts))
     freq = scaled(counts)
     f, start, _ = tables(freq)
     out, blocks = files.Writer(uri), []
@@ -300,41 +304,53 @@ def _encoder(path: str) -> Encoder:
     return _encoders[path]
 
 
+def segments(batches: Iterator[pa.RecordBatch], encoder, folder: str, part: int, segment: int = SEGMENT) -> Iterator[pa.RecordBatch]:
+    """In a Python worker: writes the segment files of one part, and gives a row of the manifest for each. What Arrow and the
+    C library hold without need goes before texts come, and again after TRIM slices and each segment."""
+    held, doc_ids, lengths, n, seq, slices = [], [], [], 0, 0, 0
+
+    def close() -> pa.RecordBatch:
+        uri = files.fresh(folder, f"tokens-{part:06d}-{seq:06d}")
+        sizes, ids = np.concatenate(lengths), np.concatenate(held)
+        held.clear()  # else all ids are there twice while they are coded
+        write_segment(uri, doc_ids, sizes, ids)
+        del ids
+        trimmed()
+        return pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int64()), "seq": pa.array([seq], pa.int64()), "path": [uri], "n_docs": pa.array([len(doc_ids)], pa.int64()), "n_ids": pa.array([n], pa.int64())})
+
+    trimmed()
+    for batch in batches:
+        for at in range(0, batch.num_rows, SLICE):
+            own = batch.slice(at, SLICE)
+            ids, sizes = encoder([x or "" for x in own.column(1).to_pylist()])
+            ids, sizes, names = np.insert(ids, np.cumsum(sizes), END), sizes + 1, own.column(0).to_pylist()
+            upto = np.concatenate(([0], np.cumsum(sizes)))
+            for i in range(0, len(names), 64):
+                j = min(i + 64, len(names))
+                held.append(ids[upto[i] : upto[j]].copy())  # no view, which would keep the slice's ids
+                lengths.append(sizes[i:j])
+                doc_ids += names[i:j]
+                n += len(held[-1])
+                if n >= segment:
+                    yield close()
+                    held, doc_ids, lengths, n, seq = [], [], [], 0, seq + 1
+            slices += 1
+            if slices % TRIM == 0:
+                trimmed()
+    if doc_ids:
+        yield close()
+    trimmed()
+
+
 def write_tokens(docs: DataFrame, folder: str, tokenizer: str, segment: int = SEGMENT) -> DataFrame:
     """Writes all documents; returns the manifest (part, seq, path, n_docs, n_ids), itself a table in the folder."""
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encoder, part = _encoder(tokenizer), TaskContext.get().partitionId()
+        encoder = _encoder(tokenizer)
         only("rans", encoder.clear)
-        held, doc_ids, lengths, n, seq = [], [], [], 0, 0
-
-        def close() -> pa.RecordBatch:
-            uri = files.fresh(folder, f"tokens-{part:06d}-{seq:06d}")
-            sizes = np.concatenate(lengths)
-            write_segment(uri, doc_ids, sizes, np.concatenate(held))
-            return pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int64()), "seq": pa.array([seq], pa.int64()), "path": [uri], "n_docs": pa.array([len(doc_ids)], pa.int64()), "n_ids": pa.array([n], pa.int64())})
-
-        for batch in batches:
-            for at in range(0, batch.num_rows, SLICE):
-                own = batch.slice(at, SLICE)
-                ids, sizes = encoder([x or "" for x in own.column(1).to_pylist()])
-                ids, sizes, names = np.insert(ids, np.cumsum(sizes), END), sizes + 1, own.column(0).to_pylist()
-                upto = np.concatenate(([0], np.cumsum(sizes)))
-                for i in range(0, len(names), 64):
-                    j = min(i + 64, len(names))
-                    held.append(ids[upto[i] : upto[j]])
-                    lengths.append(sizes[i:j])
-                    doc_ids += names[i:j]
-                    n += len(held[-1])
-                    if n >= segment:
-                        yield close()
-                        held, doc_ids, lengths, n, seq = [], [], [], 0, seq + 1
-        if doc_ids:
-            yield close()
-        held.clear()
-        trimmed()
+        yield from segments(batches, encoder, folder, TaskContext.get().partitionId(), segment)
 
     small_batches(docs.sparkSession)
     d = docs.select("doc_id", "text").repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")

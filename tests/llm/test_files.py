@@ -28,6 +28,32 @@ def test_pieces_give_the_tokenizers_ids():
     assert n.tolist() == [len(w) for w in want] and ids.tolist() == [i for w in want for i in w]
 
 
+def test_a_segments_ids_are_in_memory_once_and_free_memory_goes_back(tmp_path, monkeypatch):
+    import tracemalloc
+
+    import pyarrow as pa
+
+    kept, given = [], []
+
+    def write_segment(uri, doc_ids, lengths, ids):
+        kept.append(tracemalloc.get_traced_memory()[0] / ids.nbytes)
+
+    def encode(texts):
+        return np.full(10_000 * len(texts), 7, np.uint32), np.full(len(texts), 10_000)
+
+    monkeypatch.setattr(rans, "write_segment", write_segment)
+    monkeypatch.setattr(rans, "trimmed", lambda: given.append(len(kept)))
+    batches = (pa.RecordBatch.from_pydict({"doc_id": list(range(64)), "text": ["x"] * 64}) for _ in range(8))
+    tracemalloc.start()
+    try:
+        rows = [r for b in rans.segments(batches, encode, f"file://{tmp_path}", 0, 2_000_000) for r in b.to_pylist()]
+    finally:
+        tracemalloc.stop()
+    assert [r["n_docs"] for r in rows] == [256, 256] and sum(r["n_ids"] for r in rows) == 512 * 10_001
+    assert max(kept) < 1.8  # with the last slice's; the ids of the segment, and again what they were joined from, would be over 2
+    assert given[0] == 0 and len(given) >= 4  # before texts, between slices, after a segment
+
+
 def test_pieces_kept_are_bounded_and_frequent_ones_are_encoded_once(monkeypatch):
     from tokenizers import Tokenizer
 
