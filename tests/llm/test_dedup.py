@@ -256,6 +256,29 @@ def test_large_groups_of_near_copies_form_few_pairs(documents, monkeypatch):
     assert sum(formed) < len(links) / 2, (formed, len(links))
 
 
+def test_rounds_over_crowded_lists_leave_other_rows_alone(documents, monkeypatch):
+    rng, labelled, put = random.Random(10), [], jaccard.labelled
+    texts = []
+    for copies in [40] + [2] * 60:
+        base = prose(100, rng).split()
+        for _ in range(copies):
+            words = list(base)
+            words[rng.randrange(len(words))] = rng.choice(VOCABULARY)
+            texts.append(" ".join(words))
+
+    def counted(rows, key, comps):
+        if "key" in rows.columns:
+            labelled.append(rows.count())
+        return put(rows, key, comps)
+
+    monkeypatch.setattr(jaccard, "labelled", counted)
+    sets = [{tuple(w[i : i + 4]) for i in range(len(w) - 3)} for w in (t.split() for t in texts)]
+    links = [(i, j) for i in range(len(texts)) for j in range(i) if 100 * len(sets[i] & sets[j]) >= 85 * len(sets[i] | sets[j])]
+    assert {r.doc_id: r.component_id for r in jaccard.joined(documents(texts), centers=2).collect()} == roots(range(len(texts)), links)
+    *fewer, most = sorted(labelled)
+    assert fewer and max(fewer) < most / 2, labelled
+
+
 def test_memory_of_other_operators_goes_before_texts_come(monkeypatch):
     import pyarrow as pa
 
