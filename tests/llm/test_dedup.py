@@ -131,6 +131,22 @@ def test_lines_are_gone_once_their_groups_are_linked(documents, monkeypatch):
     assert any(sizes) and got == {0: 0, 1: 1, 2: 1}
 
 
+def test_lines_of_other_letters_are_no_candidates(documents, monkeypatch):
+    formed, put = [], line_dedup.starred
+
+    def counted(*args):
+        out = put(*args)
+        formed.append(out.count())
+        return out
+
+    monkeypatch.setattr(line_dedup, "starred", counted)
+    one = "alpha beta gamma sand nets trees oats"
+    other = "alpha beta gamma tird rett srees oits"  # letters of the same former classes
+    texts = [one, other, "quite another line of text stands here alone", "quite another line of text stands here alome"]
+    got = {r.doc_id: r.n_removed for r in line_dedup.deduplicated(documents(texts), apart=None).collect()}
+    assert got == {0: 0, 1: 0, 2: 0, 3: 1} and formed == [1]
+
+
 def test_lines_of_empty_tables_and_copies(documents):
     assert line_dedup.deduplicated(documents([])).count() == 0
     got = line_dedup.deduplicated(documents([(1, "one line here"), (1, "one line here"), (2, "one line here"), (3, "")])).collect()
