@@ -8,7 +8,7 @@ import re
 
 import xxhash
 
-from quillon.llm import jaccard, line_dedup, suffixes
+from quillon.llm import components, jaccard, line_dedup, suffixes
 
 RNG = random.Random(7)
 VOCABULARY = ["".join(RNG.choice("abcdefghij") for _ in range(RNG.randint(2, 9))) for _ in range(400)]
@@ -295,6 +295,35 @@ def test_rounds_over_crowded_lists_leave_other_rows_alone(documents, monkeypatch
     assert fewer and max(fewer) < most / 2, labelled
 
 
+def test_links_of_a_large_group_do_not_meet_in_joins(spark, documents, monkeypatch):
+    met, put = [], components._smallest
+
+    def counted(edges):
+        met.append(edges.count())
+        return put(edges)
+
+    monkeypatch.setattr(components, "_smallest", counted)
+    rng = random.Random(12)
+    base, texts = prose(100, rng).split(), []
+    for _ in range(80):
+        words = list(base)
+        words[rng.randrange(len(words))] = rng.choice(VOCABULARY)
+        texts.append(" ".join(words))
+    assert {r.component_id for r in jaccard.joined(documents(texts)).collect()} == {0}
+    assert met == []
+    # Of more links than a task holds, each task leaves no more than nodes; self links and nulls are none.
+    group = [(7 * i, 7 * j) for i in range(60) for j in range(i)]
+    links = [*group, *((1000 + i, 1001 + i) for i in range(40)), (-5, 2000), (2000, -9), (3, 3), (None, 4)]
+    edges = spark.createDataFrame(links, "u long, v long").repartition(6)
+    true = [x for x in links if x[0] is not None and x[0] != x[1]]
+    want = roots({x for link in true for x in link}, true)
+    for together in (400, 1 << 20):
+        met.clear()
+        got = components.components(edges, together=together)
+        assert got.count() == len(want) and {r.node: r.root for r in got.collect()} == want, together
+        assert max(met, default=0) < len(group), met
+
+
 def test_memory_of_other_operators_goes_before_texts_come(monkeypatch):
     import pyarrow as pa
 
