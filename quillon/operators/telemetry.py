@@ -44,10 +44,12 @@ def throttle(events: DataFrame, search: Column, seconds: int = 300, hint: int =
 
 
 def running_share(events: DataFrame, budget: float) -> DataFrame:
-    """The running sum of value of each session, its share of a budget, and whether that passes 80 and 100 percent."""
+    """The running sum of value of each session, its share of a budget, and whether that passes 80 and 100 percent. Sums are
+    compared at nine digits: one that reaches a limit does so whatever the order of its additions."""
     w = Window.partitionBy("session").orderBy("us", "event_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     s = events.withColumn("used", F.sum(F.coalesce("value", F.lit(0.0))).over(w))
-    return s.select("event_id", "session", "used", F.when(F.col("used") >= budget, "over").when(F.col("used") >= 0.8 * budget, "warn").otherwise("ok").alias("state"))
+    used = F.round("used", 9)
+    return s.select("event_id", "session", "used", F.when(used >= budget, "over").when(used >= 0.8 * budget, "warn").otherwise("ok").alias("state"))
 
 
 def heatmap(events: DataFrame) -> DataFrame:
