@@ -9,7 +9,7 @@ from . import model
 from . import queries as base
 from .functions import paths, prose
 from .functions import text as tx
-from .operators import evaluation, graph, lines, retrieval, search
+from .operators import evaluation, graph, lines, retrieval, search, spans
 from .operators import symbols as sy
 from .operators.loops import shared_dir
 from .plans import surface
@@ -188,7 +188,7 @@ def sc43_monotonic_stamp(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""+h AS (SELECT s.id, c.id AS chunk, row_number() OVER (PARTITION BY s.id ORDER BY c.end_line - c.start_line, c.id) AS r FROM symbols s JOIN symbols c ON c.file = s.file AND c.kind IN ('type', 'struct') AND c.start_line <= s.start_line AND s.end_line <= c.end_line) SELECT id, chunk FROM h WHERE r = 1""", *_S)
 def sc48_linkage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = model.symbols(spark, sf_dir)
+    s = model.symbols(spark, sf_dir, False)
     return sy.linked(s, s.where("kind IN ('type', 'struct')"))
 
 
@@ -321,9 +321,11 @@ def ag31_tree_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""+h AS (SELECT file, start_line AS low, start_line + 4 AS high FROM symbols WHERE id % 20 = 0) SELECT DISTINCT s.id, s.name FROM h JOIN symbols s ON s.file = h.file AND start_line <= high AND end_line >= low""", *_S)
 def ql06_changed_seed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = model.symbols(spark, sf_dir)
+    s = model.symbols(spark, sf_dir, False)
     hunks = s.where("id % 20 = 0").select("file", F.col("start_line").alias("low"), (F.col("start_line") + 4).alias("high"))
-    return sy.overlapping(s, hunks).select("id", "name").distinct()
+    hunks = hunks.select("file", F.col("low").alias("start_line"), F.col("high").alias("end_line"))
+    at = spans.touched(s.select("file", F.col("start_line").alias("low"), F.col("end_line").alias("high")), hunks).toDF("file", "start_line", "end_line")
+    return s.where("name <> ''").join(at, ["file", "start_line", "end_line"], "left_semi").select("id", "name").distinct()
 
 
 @query("SELECT 'symbol' AS kind, id::VARCHAR AS id, file AS path, start_line AS first, end_line AS last, 'exact' AS prov FROM symbols UNION ALL SELECT 'chunk', id::VARCHAR, path, start_line, end_line, 'semantic' FROM chunks", "edges", "symbols", "chunks")
