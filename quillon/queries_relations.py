@@ -83,12 +83,12 @@ _POINTS = "points AS (SELECT DISTINCT file, start_line + 3 AS line FROM symbols
 
 
 def _points(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _wanted(spark, sf_dir).select("file", (F.col("start_line") + 3).alias("line")).distinct()
+    return model.symbols(spark, sf_dir, False).where("id % 20 = 0").select("file", (F.col("start_line") + 3).alias("line")).distinct()
 
 
 @query(f"+{_POINTS}, h AS (SELECT p.file, line, s.id, row_number() OVER (PARTITION BY p.file, line ORDER BY end_line - start_line, s.id) AS r FROM points p JOIN symbols s ON s.file = p.file AND line BETWEEN start_line AND end_line) SELECT file, line, id FROM h WHERE r = 1", *_S)
 def pf11_span_at_point(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sy.at_line(_symbols(spark, sf_dir), _points(spark, sf_dir)).select("file", "line", "id")
+    return sy.at_line(model.symbols(spark, sf_dir, False).select("id", "file", "start_line", "end_line"), _points(spark, sf_dir)).select("file", "line", "id")
 
 
 @query("""+r AS (SELECT DISTINCT file, start_line AS low, start_line + 10 AS high FROM symbols WHERE id % 20 = 0)
@@ -100,7 +100,8 @@ def pf12_span_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"+{_POINTS}, h AS (SELECT p.file, line, s.qualified, row_number() OVER (PARTITION BY p.file, line ORDER BY end_line - start_line, s.id) AS r FROM points p JOIN symbols s ON s.file = p.file AND s.kind <> 'file' AND line BETWEEN start_line AND end_line) SELECT file, line, qualified FROM h WHERE r = 1", *_S)
 def pf13_qualified_at_line(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sy.at_line(_symbols(spark, sf_dir).where("kind <> 'file'"), _points(spark, sf_dir)).select("file", "line", "qualified")
+    s = model.symbols(spark, sf_dir, False).where("kind <> 'file'").select("id", "qualified", "file", "start_line", "end_line")
+    return sy.at_line(s, _points(spark, sf_dir)).select("file", "line", "qualified")
 
 
 @query("SELECT id, file FROM symbols WHERE file LIKE 'Brand#12/%' AND file NOT LIKE 'Brand#12/%/%'", *_S)
@@ -192,7 +193,7 @@ _CLAIMS = """claims AS (SELECT id AS ref, CASE id % 5 WHEN 0 THEN '' WHEN 1 THEN
 
 @query(f"+{_CLAIMS} SELECT ref, status, CASE WHEN status = 'moved' THEN found END AS found_at FROM st", *_S)
 def pf30_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s, i = _symbols(spark, sf_dir), F.col("id")
+    s, i = model.symbols(spark, sf_dir, False), F.col("id")
     file = F.when(i % 5 == 0, "").when(i % 5 == 1, F.concat(F.lit("missing/"), "file")).otherwise(F.col("file"))
     line = F.when(i % 3 == 0, 0).when(i % 3 == 1, F.col("start_line") + 1).otherwise(1000)
     sym = F.when(i % 4 == 1, "nowhere").when(i % 4 > 1, F.col("qualified"))
@@ -202,10 +203,10 @@ def pf30_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""+p AS (SELECT a.id AS a, b.id AS b, a.qualified AS x, CASE WHEN b.id % 2 = 0 THEN b.name ELSE b.qualified END AS y FROM symbols a JOIN symbols b ON a.file = b.file AND a.id < b.id)
     SELECT a, b FROM p WHERE x = y OR x = regexp_extract(y, '([^.]*)$', 1) OR regexp_extract(x, '([^.]*)$', 1) = y""", *_S)
 def pf31_symbol_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = _symbols(spark, sf_dir)
+    s = model.symbols(spark, sf_dir, False)
     a = s.select("file", F.col("id").alias("a"), F.col("qualified").alias("x"))
     b = s.select("file", F.col("id").alias("b"), F.when(F.col("id") % 2 == 0, F.col("name")).otherwise(F.col("qualified")).alias("y"))
-    return a.join(b, "file").where(F.col("a") < F.col("b")).where(sy.symbols_match(F.col("x"), F.col("y"))).select("a", "b")
+    return sy.matched(a, b, "file").where(F.col("a") < F.col("b")).select("a", "b")
 
 
 # -- joins ----------------------------------------------------------------------------------------------------------------

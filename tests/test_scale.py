@@ -2,9 +2,74 @@
 
 from __future__ import annotations
 
-from quillon.operators import telemetry
+import random
+
+from quillon.operators import coupling, spans, symbols, telemetry
 
 
 def test_running_share_reaches_its_limit(spark):
     e = spark.createDataFrame([(1, i, i, 0.1) for i in range(10)], "session long, us long, event_id long, value double")  # ten tenths add up to less than 1
     assert [r.state for r in telemetry.running_share(e, 1.0).orderBy("event_id").collect()] == ["ok"] * 7 + ["warn", "warn", "over"]
+
+
+def span_cases(spark, seed=0, n=60):
+    rng = random.Random(seed)
+    rows = [(i, rng.choice("ab"), rng.choice(["f", "p.f", "q.f", "g", "p.g", ""]), s := rng.randrange(40), s + rng.choice([0, 1, 5, 30, 300])) for i in range(n)]
+    return rows, spark.createDataFrame(rows, "id long, file string, name string, start_line int, end_line int")
+
+
+def test_tightest_spans_against_all_pairs(spark):
+    rows, s = span_cases(spark)
+    points = [(f, line) for f in "abc" for line in range(0, 350, 7)]
+    want = {(f, x): min((e - b, i) for i, g, _, b, e in rows if g == f and b <= x <= e)[1] for f, x in points if any(g == f and b <= x <= e for _, g, _, b, e in rows)}
+    got = symbols.at_line(s, spark.createDataFrame(points, "file string, line int"))
+    assert {(r.file, r.line): r.id for r in got.collect()} == want
+    keyed = coupling.tightest(spark.createDataFrame([(f"{f}{x}", f, x) for f, x in points], "key string, file string, line int"), s)
+    assert {(r.file, r.line): r.id for r in keyed.collect()} == want
+
+
+def test_enclosing_and_touched_spans_against_all_pairs(spark):
+    rows, s = span_cases(spark, 1)
+    want = {i: min((d - c, j) for j, g, _, c, d in rows if g == f and c <= b and e <= d and j % 3)[1] for i, f, _, b, e in rows if any(g == f and c <= b and e <= d and j % 3 for j, g, _, c, d in rows)}
+    assert {r.id: r.chunk for r in symbols.linked(s, s.where("id % 3 > 0")).collect()} == want
+    some = rows[:5]
+    got = spans.touched(s.selectExpr("file", "start_line AS low", "end_line AS high"), s.where("id < 5"))
+    assert {tuple(r) for r in got.collect()} == {(f, b, e) for _, f, _, b, e in rows if any(g == f and b <= d and c <= e for _, g, _, c, d in some)}
+
+
+def test_matched_names_against_all_pairs(spark):
+    rows, s = span_cases(spark, 2)
+    bare = lambda x: x.rsplit(".", 1)[-1]
+    got = symbols.matched(s.selectExpr("file", "id AS a", "name AS x"), s.selectExpr("file", "id AS b", "name AS y"), "file").collect()
+    want = sorted((a[0], b[0]) for a in rows for b in rows if a[1] == b[1] and (a[2] == b[2] or a[2] == bare(b[2]) or bare(a[2]) == b[2]))
+    assert sorted((r.a, r.b) for r in got) == want
+
+
+def test_joins_of_spans_make_few_rows(spark):
+    """A thousand spans of one file: no join compares all of them with all of a thousand others."""
+    s = spark.range(1000).selectExpr("id", "'f' AS file", "concat('n', id) AS name", "CAST(id AS INT) AS start_line", "CAST(id + 900 AS INT) AS end_line")
+    made = (
+        symbols.linked(s, s), symbols.matched(s.selectExpr("file", "id AS a", "name AS x"), s.selectExpr("file", "id AS b", "name AS y"), "file"),
+        symbols.at_line(s, s.selectExpr("file", "start_line AS line")), coupling.tightest(s.selectExpr("name AS key", "file", "start_line AS line"), s),
+    )
+    for df in made:
+        assert df.count() == 1000
+        assert most_rows(df) < 300_000
+
+
+def most_rows(df):
+    """The most rows that a join of df makes."""
+    df.collect()
+    todo, most = [df._jdf.queryExecution().executedPlan()], 0
+    while todo:
+        p = todo.pop()
+        kind = p.getClass().getSimpleName()
+        if kind == "AdaptiveSparkPlanExec":
+            todo.append(p.executedPlan())
+        elif kind.endswith("QueryStageExec"):
+            todo.append(p.plan())
+        else:
+            todo += [p.children().apply(i) for i in range(p.children().size())]
+            if "Join" in kind:
+                most = max(most, p.metrics().apply("numOutputRows").value())
+    return most
