@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import math
 import random
+from collections import Counter
 
-from quillon.operators import coupling, evaluation, spans, symbols, telemetry
+import pyarrow as pa
+import pytest
+
+from quillon.operators import coupling, evaluation, retrieval, spans, symbols, telemetry
 
 
 def test_running_share_reaches_its_limit(spark):
@@ -92,3 +97,36 @@ def test_containing_makes_a_row_for_each_block(spark):
     got = evaluation.containing(q, d)
     want = {(b.qid, a.id) for a in d.collect() for b in q.collect() if b.text and b.text in a.content}
     assert {tuple(r) for r in got.collect()} == want and len(want) > 100
+
+
+@pytest.mark.parametrize("few", [True, False])
+def test_bm25_in_blocks_against_all_pairs(spark, monkeypatch, few):
+    for name, n in (("CHUNK_BLOCK", 7), ("TERM_BLOCK", 2), ("BROADCAST_BLOCKS", 64 if few else 1)):
+        monkeypatch.setattr(retrieval, name, n)
+    rng = random.Random(3)
+    words = [f"w{i}" for i in range(12)]
+    c = [(i, " ".join(rng.choices(words, k=rng.randrange(9))), f"p/{rng.choice(words)}", rng.choice(["window", "section"])) for i in range(60)]
+    c += [(100 + i, *c[5][1:]) for i in range(9)]  # equal scores
+    asked = {q: set(rng.sample([*words, "absent"], 4)) for q in range(7)}
+    asked[9] = asked[2]
+    tf = {i: Counter({w: t.split().count(w) + 2 * (w == p[2:]) for w in words}) for i, t, p, _ in c}
+    size = {i: len(t.split()) + 3 for i, t, _, _ in c}
+    mean, df = sum(size.values()) / len(c), {w: sum(tf[i][w] > 0 for i in tf) for w in words}
+    idf = {w: max(math.log((len(c) - n + 0.5) / (n + 0.5)), 1e-6) if n < len(c) / 2 else 1e-6 for w, n in df.items()}
+    want = {}
+    for q, terms in asked.items():
+        s = [(round(x, 9), -i) for i, _, _, kind in c if (x := sum(idf[w] * tf[i][w] * 2.2 / (tf[i][w] + 1.2 * (0.25 + 0.75 * size[i] / mean)) for w in terms if w in idf) * (0.7 if kind == "window" else 1.0)) > 0]
+        want |= {(q, rank): (-i, x) for rank, (x, i) in enumerate(sorted(s, reverse=True)[:5], 1)}
+    chunks = spark.createDataFrame(c, "id long, content string, path string, kind string").repartition(3)
+    terms = spark.createDataFrame([(q, w) for q, ws in asked.items() for w in ws], "qid long, term string")
+    got = retrieval.bm25(chunks, terms, 5)
+    assert {(r.qid, r["rank"]): (r.id, round(r.score, 9)) for r in got.collect()} == want
+    assert most_rows(got) < 400
+
+
+def test_blocks_go_to_workers_one_by_one(spark, monkeypatch):
+    monkeypatch.setattr(retrieval, "BATCH_BYTES", 1000)
+    v = spark.range(4).selectExpr("id", "array(CAST(1 AS FLOAT), CAST(id AS FLOAT)) AS embedding")
+    assert retrieval.knn(v, v.withColumnRenamed("id", "qid"), 2).count() == 8
+    rows = spark.range(40, numPartitions=1).selectExpr("repeat('x', 900) AS x").mapInArrow(lambda bs: (pa.RecordBatch.from_pydict({"n": [b.num_rows]}) for b in bs), "n long")
+    assert max(r.n for r in rows.collect()) <= 2
