@@ -9,7 +9,7 @@ from collections import Counter
 import pyarrow as pa
 import pytest
 
-from quillon.operators import coupling, evaluation, retrieval, spans, symbols, telemetry
+from quillon.operators import coupling, evaluation, graph, retrieval, spans, symbols, telemetry
 
 
 def test_running_share_reaches_its_limit(spark):
@@ -130,3 +130,17 @@ def test_blocks_go_to_workers_one_by_one(spark, monkeypatch):
     assert retrieval.knn(v, v.withColumnRenamed("id", "qid"), 2).count() == 8
     rows = spark.range(40, numPartitions=1).selectExpr("repeat('x', 900) AS x").mapInArrow(lambda bs: (pa.RecordBatch.from_pydict({"n": [b.num_rows]}) for b in bs), "n long")
     assert max(r.n for r in rows.collect()) <= 2
+
+
+def test_hops_do_not_make_the_edges_anew(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            made.add(b.num_rows)
+            yield b
+
+    e = spark.range(12).selectExpr("id AS src", "id + 1 AS dst").mapInArrow(counted, "src long, dst long")
+    got = graph.reach(e, spark.range(1).withColumnRenamed("id", "seed"), 6)
+    assert {r.id: r.depth for r in got.collect()} == {i: i for i in range(1, 7)}
+    assert made.value == 12
