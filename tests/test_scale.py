@@ -164,3 +164,12 @@ def test_counts_of_a_text_shuffle_nothing(spark):
     assert lines.ngram_codebook(d).collect() == lines.ngram_codebook(lines.lines(d)).collect()
     assert sorted(lines.cross_entropy(d).collect()) == sorted(lines.cross_entropy(lines.lines(d)).collect())
     assert {r.id: round(r.bits, 3) for r in lines.cross_entropy(d).collect()}[4] == 0.0
+
+
+def test_strong_components_broadcast_nothing(spark, monkeypatch):
+    plans = []
+    monkeypatch.setattr(graph, "settled", lambda df, f=graph.settled: plans.append(df) or f(df))
+    e = spark.createDataFrame([(i, (i + 1) % 5) for i in range(5)] + [(7, 8), (8, 7), (4, 7), (8, 9)], "src long, dst long")
+    got = graph.strong_components(spark.range(10), e)
+    assert {r.id: r.component for r in got.collect()} == {0: 0, 1: 0, 2: 0, 3: 0, 4: 0, 5: 5, 6: 6, 7: 7, 8: 7, 9: 9}
+    assert all("Broadcast" not in df._jdf.queryExecution().executedPlan().toString() for df in [*plans, got])
