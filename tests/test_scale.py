@@ -173,3 +173,11 @@ def test_strong_components_broadcast_nothing(spark, monkeypatch):
     got = graph.strong_components(spark.range(10), e)
     assert {r.id: r.component for r in got.collect()} == {0: 0, 1: 0, 2: 0, 3: 0, 4: 0, 5: 5, 6: 6, 7: 7, 8: 7, 9: 9}
     assert all("Broadcast" not in df._jdf.queryExecution().executedPlan().toString() for df in [*plans, got])
+
+
+@pytest.mark.parametrize("made", [graph.components, graph.communities, graph.betweenness])
+def test_components_broadcast_nothing(spark, monkeypatch, made):
+    plans = []
+    monkeypatch.setattr(graph, "settled", lambda df, f=graph.settled: plans.append(df) or f(df))
+    got = made(spark.range(6), spark.createDataFrame([(0, 1), (1, 2), (2, 3), (4, 5)], "src long, dst long"))
+    assert got.count() > 0 and all("Broadcast" not in df._jdf.queryExecution().executedPlan().toString() for df in [*plans, got])
