@@ -181,3 +181,11 @@ def test_components_broadcast_nothing(spark, monkeypatch, made):
     monkeypatch.setattr(graph, "settled", lambda df, f=graph.settled: plans.append(df) or f(df))
     got = made(spark.range(6), spark.createDataFrame([(0, 1), (1, 2), (2, 3), (4, 5)], "src long, dst long"))
     assert got.count() > 0 and all("Broadcast" not in df._jdf.queryExecution().executedPlan().toString() for df in [*plans, got])
+
+
+def test_products_of_vectors_are_small(spark, monkeypatch):
+    monkeypatch.setattr(retrieval, "PRODUCT_ROWS", 3)
+    v = spark.range(20, numPartitions=1).selectExpr("id", "array(CAST(cos(id) AS FLOAT), CAST(sin(id) AS FLOAT)) AS embedding")
+    got = {(r.qid, r.id) for r in retrieval.knn(v, v.withColumnRenamed("id", "qid"), 2).collect()}
+    want = {(q, i) for q in range(20) for i in sorted((j for j in range(20) if j != q), key=lambda j: -math.cos(q - j))[:2]}
+    assert got == want
